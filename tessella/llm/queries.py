@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, mixing, simhash
+from . import bpe, langid, linededup, mixing, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,22 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (host: their source) and pages (host, markup) in one result; a page's doc_id is -1 - page_id."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = langid.train(docs)
+    none = F.lit(None).cast("string")
+    d = docs.select(F.lit("document").alias("record"), "doc_id", "text", F.col("source").alias("host"), none.alias("declared"))
+    p = pages.select(
+        F.lit("page").alias("record"),
+        (-1 - F.col("page_id")).alias("doc_id"),
+        langid.html_text(F.col("html")).alias("text"),
+        langid.url_host(F.col("url")).alias("host"),
+        langid.html_language(F.col("html")).alias("declared"),
+    )
+    return langid.identify(d.union(p), model, host="host", declared="declared", keep=["record", "doc_id"])
+
+
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = tokenizer_path()
@@ -55,6 +71,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op3_simhash": op3_simhash,
     "op6_mix": op6_mix,
