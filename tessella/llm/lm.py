@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import cut, fresh, words_of
 
 #: Tokens that a chunk holds, unless one document alone has more.
-CHUNK_TOKENS = 3_000_000
+CHUNK_TOKENS = 1_500_000
 #: Keys that a range should have, and the text bytes that stand for one.
 RANGE_KEYS, BYTES_A_KEY = 1_000_000, 12
 #: Weight of the unigrams in a bigram state, as a number of observations.
@@ -48,14 +48,18 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 == 0
 
 
+_ZSTD = pa.Codec("zstd", 1)
+
+
 def _planes(a: np.ndarray) -> bytes:
-    """Bytes of an array, plane by plane: the shuffle's compression then finds the empty ones."""
-    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+    """Bytes of an array, plane by plane, compressed: small numbers have empty planes."""
+    raw = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
 
 
 def _unplanes(b: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    raw = _ZSTD.decompress(b[8:], int.from_bytes(b[:8], "little")) if int.from_bytes(b[:8], "little") else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
@@ -67,11 +71,11 @@ def _unpack_keys(b: bytes) -> np.ndarray:
 
 
 def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Keys of bigrams from the keys of their words."""
+    """Keys of bigrams, of 56 bits, from the keys of their words."""
     x = h * _MIX[0] + (w ^ (w >> np.uint64(29))) * _MIX[1]
     x = (x ^ (x >> np.uint64(30))) * _MIX[1]
     x = (x ^ (x >> np.uint64(27))) * _MIX[2]
-    return x ^ (x >> np.uint64(31))
+    return (x ^ (x >> np.uint64(31))) >> np.uint64(8)
 
 
 class Chunk:
@@ -140,7 +144,7 @@ def _read(ranges_log2: int):  # noqa: ANN202
         uo, bo = np.argsort(uk), np.argsort(bk)
         uk, uc, bk, bc = uk[uo], uc[uo], bk[bo], bc[bo]
         starts = np.arange(1 << ranges_log2, dtype=np.uint64) << np.uint64(64 - ranges_log2) if ranges_log2 else np.zeros(1, np.uint64)
-        ua, ba = [*np.searchsorted(uk, starts).tolist(), len(uk)], [*np.searchsorted(bk, starts).tolist(), len(bk)]
+        ua, ba = [*np.searchsorted(uk, starts).tolist(), len(uk)], [*np.searchsorted(bk, starts >> np.uint64(8)).tolist(), len(bk)]
         for r in range(len(starts)):
             i, j, k, m = ua[r], ua[r + 1], ba[r], ba[r + 1]
             if i < j or k < m:
