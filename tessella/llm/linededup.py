@@ -135,6 +135,7 @@ def dedup_lines(
     kept = F.expr(
         "flatten(transform(sequence(0, size(__p)), j -> slice(__l, if(j = 0, 1, __p[j - 1] + 2), if(j = size(__p), size(__l), __p[j]) - if(j = 0, 0, __p[j - 1] + 1))))"
     )
-    out = df.join(drops, F.col(doc_id).eqNullSafe(F.col("d")), "left")
+    # the same plan at every size: texts meet their drops by a sorted exchange
+    out = df.join(drops.hint("merge"), F.col(doc_id).eqNullSafe(F.col("d")), "left")
     clean = out.withColumn("__l", F.when(F.col("__p").isNotNull(), split)).withColumn("__t", F.when(F.col("__p").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
     return clean.select(*(F.col("__t").alias(c) if c == text else F.col(c) for c in df.columns), F.coalesce(F.size("__p"), F.lit(0)).alias("n_dropped"))
