@@ -2,12 +2,647 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessella.functions import encode, hashing, html, robots, text, uri
+from tessella.operators import cells as C
+from tessella.operators import ranges as R
+from tessella.operators import stats as A
+from tessella.operators import streams as X
+from tessella.plans.intervals import Interval
+from tessella.plans.predicate import ScanPredicate, parse
+from tessella.sources import formats
+from tessella.views import EV, EVLOG, OD, ev, evlog, od, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+_CELLS = '"row", "column", ts, value'
+_FLAGSHIP = "row ~= 'user-000' and column = 'ev:purchase' and history = 1"
+
+
+def add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return parse(_FLAGSHIP).apply(ev(spark, sf_dir))
 
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+_HISTORY = f"select {_CELLS} from (select *, row_number() over (partition by \"row\", \"column\" order by ts desc) as n from ({{0}}) where {{1}}) where {{2}}"
+QUERIES["pred_flagship"] = flagship
+ORACLE_SQL["pred_flagship"] = _HISTORY.format(EV, "starts_with(\"row\", 'user-000') and \"column\" = 'ev:purchase'", "n <= 1")
+
+
+def _scan(name: str, view, sql: str, predicate: str, where: str, history: str = "true") -> None:  # noqa: ANN001
+    add(name, _HISTORY.format(sql, where, history))(lambda spark, d: parse(predicate).apply(view(spark, d)))
+
+
+# scans and predicates: SC1-3, PR1-PR17, W1
+_scan("scan_all", ev, EV, "", "true")
+_scan("pred_row_point", ev, EV, "row = 'user-000003'", "\"row\" = 'user-000003'")
+_scan("pred_row_points", ev, EV, "row = 'user-000003' or row = 'user-000017'", "\"row\" in ('user-000003', 'user-000017')")
+_scan("pred_row_range", ev, EV, "'user-000010' <= row < 'user-000050'", "\"row\" >= 'user-000010' and \"row\" < 'user-000050'")
+_scan("pred_row_open", ev, EV, "row < 'user-000004' or row >= 'user-000080'", "\"row\" < 'user-000004' or \"row\" >= 'user-000080'")
+_scan("pred_row_prefix", ev, EV, r"row ~= 'user-\x30000'", "starts_with(\"row\", 'user-0000')")
+_scan("pred_column_family", od, OD, "column ~= 'meta:'", "starts_with(\"column\", 'meta:')")
+_scan("pred_column_range", od, OD, "'amt:' < column <= 'meta:priority' and row < '0000000500'", "\"column\" > 'amt:' and \"column\" <= 'meta:priority' and \"row\" < '0000000500'")
+_scan("pred_time", ev, EV, "time < 2024-01-15T00:00:00Z", "ts < epoch_us(timestamp '2024-01-15')")
+_scan("pred_time_history", ev, EV, "time < 2024-01-15T00:00:00Z and history = 1", "ts < epoch_us(timestamp '2024-01-15')", "n <= 1")
+_scan("pred_history_2", ev, EV, "history = 2", "true", "n <= 2")
+_scan("pred_history_but_newest", ev, EV, "history = -1", "true", "n > 1")
+_scan("pred_empty", ev, EV, "'b' < column < 'a'", "false")
+
+
+@add("pred_clip", _HISTORY.format(EV, "\"row\" >= 'user-000020' and \"row\" < 'user-000040'", "true"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return parse("'user-000010' <= row < 'user-000040'").clip_rows(Interval.of("user-000020", "user-000090")).apply(ev(spark, d))
+
+
+@add("pred_family_pruning", f"select {_CELLS} from ({OD}) where split_part(\"column\", ':', 1) = 'amt' and \"row\" < '0000001000'")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    cells = od(spark, d).withColumn("family", C.family(F.col("column")))
+    return parse("column ~= 'amt:' and row < '0000001000'").apply(cells).select("row", "column", "ts", "value")
+
+
+# last writer wins, erasures, compaction: SC11, O5, M1, M2, M5, M6, PR15
+_LAST = f'select "row", "column", ts, arg_max_null(value, seq) as value from ({EVLOG}) group by all'
+
+
+@add("resolve", f"select * from ({_LAST}) where value is not null")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return C.resolve(evlog(spark, d))
+
+
+@add("resolve_erasures", _LAST)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return C.resolve(evlog(spark, d), erasures=True)
+
+
+@add("resolve_pushdown", f"select * from ({_LAST}) where value is not null and starts_with(\"row\", 'user-0000')")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return C.resolve(evlog(spark, d).filter(parse("row ~= 'user-0000'").key_filter()))
+
+
+@add("resolve_history", f'select {_CELLS} from (select *, row_number() over (partition by "row", "column" order by ts desc) as n from ({_LAST}) where value is not null) where n <= 1')
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return C.keep_history(C.resolve(evlog(spark, d)), 1)
+
+
+_COMPACT = f'select max(seq) as seq, "row", "column", ts, arg_max_null(value, seq) as value from ({EVLOG}) group by "row", "column", ts'
+
+
+@add("compact_minor", _COMPACT)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return R.compact(evlog(spark, d), rooted=False)
+
+
+@add("compact_major", f"select * from ({_COMPACT}) where value is not null")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return R.compact(evlog(spark, d), rooted=True)
+
+
+@add("erase_where", f"select row_number() over (order by \"row\", \"column\", ts) + 1000000 - 1 as seq, \"row\", \"column\", ts, null::varchar as value from ({EV}) where \"column\" = 'ev:error'")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return R.erase(parse("column = 'ev:error'").apply(ev(spark, d)), 1_000_000)
+
+
+@add("lineitem_last", "select lpad(l_orderkey::varchar, 10, '0') as \"row\", 'line:' || l_linenumber::varchar as \"column\", arg_max(l_partkey, (l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_quantity)) as part from lineitem group by 1, 2")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    key = [F.lpad(F.col("l_orderkey").cast("string"), 10, "0").alias("row"), F.concat(F.lit("line:"), F.col("l_linenumber").cast("string")).alias("column")]
+    return li.groupBy(*key).agg(F.max_by("l_partkey", F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")).alias("part"))
+
+
+@add("row_buffers", f'select "row", count(*) as cells, max(ts) as newest from ({EV}) group by "row"')
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = C.row_buffers(ev(spark, d))
+    return rows.select("row", F.size("cells").cast("long").alias("cells"), F.array_max(F.transform("cells", lambda c: c["ts"])).alias("newest"))
+
+
+@add("latest_values", f"select \"row\", arg_max(value, ts) filter (\"column\" = 'ev:purchase') as purchase from ({EV}) group by \"row\"")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return C.latest_values(ev(spark, d)).select("row", F.col("values")["ev:purchase"].alias("purchase"))
+
+
+@add("resume_scan", f"select {_CELLS} from ({EV}) where (\"row\", \"column\", -ts) > ('user-000050', 'ev:error', -epoch_us(timestamp '2024-01-10'))")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return C.resume_after(ev(spark, d), "user-000050", "ev:error", 1704844800000000)
+
+
+# projections and field comparisons: PR18-PR24, F-FAM
+@add("project_fields", f"select \"row\", split_part(\"column\", ':', 1) as family, split_part(\"column\", ':', 2) as qualifier, ts, octet_length(encode(value)) as n from ({OD})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("column")
+    return od(spark, d).select("row", C.family(c).alias("family"), C.qualifier(c).alias("qualifier"), "ts", F.octet_length("value").cast("long").alias("n"))
+
+
+@add("filter_value", f"select {_CELLS} from ({OD}) where \"column\" = 'meta:status' and value < 'O' or starts_with(value, '1-')")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("value")
+    return od(spark, d).filter(((F.col("column") == "meta:status") & (v < "O")) | v.startswith("1-"))
+
+
+@add("modify_cells", f"select upper(\"row\") as \"row\", \"column\", ts // 1000000 as ts, value from ({EV})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return ev(spark, d).select(F.upper("row").alias("row"), "column", F.floor(F.col("ts") / 1_000_000).cast("long").alias("ts"), "value")
+
+
+# joins: J1-J6, X3
+@add("cogroup", """with c as (select c_nationkey as k, count(*) as customers, sum(c_custkey) as cs from customer group by 1),
+s as (select s_nationkey as k, count(*) as suppliers from supplier group by 1), n as (select n_nationkey as k, n_name from nation)
+select coalesce(c.k, s.k, n.k) as k, coalesce(customers, 0) as customers, coalesce(cs, 0)::bigint as cs, coalesce(suppliers, 0) as suppliers, n_name
+from c full join s on c.k = s.k full join n on n.k = coalesce(c.k, s.k)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("k"), "c_custkey")
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), "s_suppkey")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), "n_name")
+    g = X.cogroup([c, s, n], ["k"])
+    total = F.aggregate(g["i0"], F.lit(0).cast("long"), lambda a, x: a + x["c_custkey"])
+    return g.select("k", F.size("i0").cast("long").alias("customers"), total.alias("cs"), F.size("i1").cast("long").alias("suppliers"), F.col("i2")[0]["n_name"].alias("n_name"))
+
+
+@add("join_optional", "select o_custkey as k, n, c_name from (select o_custkey, count(*) as n from orders group by 1) full join customer on c_custkey = o_custkey where o_custkey is not null union all select c_custkey, null, c_name from customer where c_custkey not in (select o_custkey from orders)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_name")
+    j = X.join_optional([o, c], ["k"])
+    return j.select("k", F.col("i0.n").alias("n"), F.col("i1.c_name").alias("c_name"))
+
+
+@add("select_keys", "select o_orderkey, o_custkey from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    keys = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return X.select_keys(table(spark, d, "orders").select("o_orderkey", "o_custkey"), keys, ["o_custkey"])
+
+
+@add("reject_keys", "select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 40)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    used = table(spark, d, "lineitem").filter("l_quantity > 40").select(F.col("l_partkey").alias("p_partkey"))
+    return X.reject_keys(table(spark, d, "part").select("p_partkey"), used, ["p_partkey"])
+
+
+_SPLITS = ["user-000020", "user-000050", "user-000080"]
+
+
+@add("lookup_tablets", f"""select "row", ts, case when "row" <= 'user-000020' then 't0' when "row" <= 'user-000050' then 't1' when "row" <= 'user-000080' then 't2' else 't3' end as tablet from ({EV})""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    tablets = spark.createDataFrame([(f"t{i}", s) for i, s in enumerate([*_SPLITS, None])], "tablet string, upper string")
+    return R.lookup_ranges(ev(spark, d).select("row", "ts"), "row", tablets)
+
+
+@add("garbage_files", "select 'part-' || p_partkey::varchar as path from part where p_size < 25 and p_partkey not in (select l_partkey from lineitem where l_quantity > 45)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    name = lambda c: F.concat(F.lit("part-"), F.col(c).cast("string")).alias("path")
+    files = table(spark, d, "part").select(name("p_partkey"), F.col("p_size").alias("modified"))
+    return R.garbage(files, table(spark, d, "lineitem").filter("l_quantity > 45").select(name("l_partkey")), F.lit(25))
+
+
+# aggregates: A1-A9
+@add("count_scan", f"select count(*) as cells from (select * from ({EV}) where \"column\" = 'ev:click' union all select * from ({OD}) where \"row\" < '0000000900')")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    both = parse("column = 'ev:click'").apply(ev(spark, d)).union(parse("row < '0000000900'").apply(od(spark, d)))
+    return both.agg(F.count(F.lit(1)).alias("cells"))
+
+
+_BYTES = "8 + octet_length(encode(\"row\")) + octet_length(encode(\"column\")) + octet_length(encode(value))"
+
+
+@add("cell_bytes", f"select count(*) as cells, sum({_BYTES})::bigint as bytes from ({OD})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return A.cell_stats(od(spark, d))
+
+
+@add("table_totals", f"select t as \"table\", count(*) as cells, sum({_BYTES})::bigint as bytes from (select 'ev' as t, * from ({EV}) union all select 'od', * from ({OD})) group by rollup (t)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    both = ev(spark, d).withColumn("table", F.lit("ev")).union(od(spark, d).withColumn("table", F.lit("od")))
+    return A.table_stats(both)
+
+
+@add("family_totals", f"select split_part(\"column\", ':', 1) as family, count(*) as cells, sum({_BYTES})::bigint as bytes from ({OD}) group by 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return A.family_stats(od(spark, d))
+
+
+@add("profile", f"select count(*) as cells, count(distinct \"row\") as rows, count(distinct \"column\") as columns, sum(octet_length(encode(\"row\")))::bigint as row_bytes, sum(octet_length(encode(\"column\")))::bigint as column_bytes, sum(octet_length(encode(value)))::bigint as value_bytes from ({OD})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return A.profile(od(spark, d), exact=True)
+
+
+@add("profile_sketch")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return A.profile(od(spark, d))
+
+
+@add("extrapolate", f"""with recursive t as (select row_number() over (order by k) as i, n from (select "row"[6:9] as k, count(*) as n from ({EV}) where "row" < 'user-000400' group by 1)),
+f as (select 0 as i, 0::bigint as mean, 0::bigint as total union all
+select t.i, (least(f.i, 10) * f.mean + t.n) // (least(f.i, 10) + 1), f.total + t.n from f join t on t.i = f.i + 1)
+select total + mean * 7 as estimate from f where i = (select max(i) from f)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    per = parse("row < 'user-000400'").apply(ev(spark, d)).groupBy(F.substring("row", 6, 4).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    ordered = per.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "n"))), lambda x: x["n"]).alias("t"))
+    return ordered.select(A.extrapolate(F.col("t"), F.lit(7)).alias("estimate"))
+
+
+@add("uniq_add", "select o_custkey as k, sum(round(o_totalprice * 100)::bigint)::bigint as cents, count(*) as n from orders group by 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.round(F.col("o_totalprice") * 100).cast("long").alias("c"))
+    return X.uniq_fold(o, ["k"], {"cents": F.sum("c"), "n": F.count(F.lit(1))})
+
+
+# de-duplication: U1-U7
+def _uniq(keep: str) -> Query:
+    return lambda spark, d: X.uniq(table(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id", keep)
+
+
+add("uniq_first", "select user_id, min(event_id) as event_id, arg_min(event_type, event_id) as event_type from events group by 1")(_uniq("first"))
+add("uniq_last", "select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by 1")(_uniq("last"))
+
+
+@add("uniq_adjacent", "select user_id, run, min(event_id) as event_id, any_value(event_type) as event_type from (select *, sum(new) over (partition by user_id order by event_id)::bigint - 1 as run from (select *, case when event_type is not distinct from lag(event_type) over (partition by user_id order by event_id) then 0 else 1 end as new from events)) group by 1, 2")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return X.uniq_adjacent(table(spark, d, "events").select("user_id", "event_id", "event_type"), ["event_type"], "event_id", ["user_id"])
+
+
+@add("uniq_pairs", "select user_id, string_agg(event_type, ',' order by event_id) as types from events where event_type in ('error', 'signup') group by 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    import pandas as pd
+
+    e = table(spark, d, "events").filter("event_type in ('error', 'signup')").select("user_id", "event_id", "event_type")
+    return X.uniq_pairs(e, ["user_id"], "event_id", lambda g: pd.DataFrame({"user_id": g["user_id"].iloc[:1], "types": [",".join(g["event_type"])]}), "user_id long, types string")
+
+
+@add("merge_unique", "select k, arg_min(name, src) as name, min(src)::int as input from (select c_nationkey as k, min(c_name) as name, 0 as src from customer where c_custkey % 3 = 0 group by 1 union all select s_nationkey, min(s_name), 1 from supplier group by 1) group by k")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("k"), F.col("c_name").alias("name"))
+    b = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_name").alias("name"))
+    return X.merge_unique([a, b], ["k"])
+
+
+@add("merge_runs", "select status, min(o_orderkey) as lower, max(o_orderkey) as upper, count(*) as joined from (select *, sum(new) over (order by o_orderkey) as run from (select o_orderkey, o_orderstatus as status, case when o_orderstatus is not distinct from lag(o_orderstatus) over (order by o_orderkey) then 0 else 1 end as new from orders where o_orderkey <= 2000)) group by status, run")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").filter("o_orderkey <= 2000").select(F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("lower"), F.col("o_orderkey").alias("upper"))
+    return R.merge_runs(o, ["status"], "upper").select("status", "lower", "upper", "joined")
+
+
+# order: O1-O14, X1, X2
+_MERGED = "select 'c' || c_custkey::varchar as id, c_acctbal as x, 0 as input from customer union all select 's' || s_suppkey::varchar, s_acctbal, 1 from supplier"
+
+
+@add("merge_ordered", f"select *, row_number() over (order by x, input, id) as place from ({_MERGED})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_acctbal").alias("x"))
+    b = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_acctbal").alias("x"))
+    return X.number(X.series(a, b), ["x", "input", "id"], "place")
+
+
+@add("sort_numbered", "select o_orderkey, row_number() over (order by o_totalprice desc, o_orderkey) as place from orders")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return X.number(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], "place").select("o_orderkey", "place")
+
+
+@add("series", "select 'n' as kind, n_nationkey as k, 0 as input from nation union all select 'r', r_regionkey, 1 from region")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").select(F.lit("n").alias("kind"), F.col("n_nationkey").alias("k"))
+    return X.series(n, table(spark, d, "region").select(F.lit("r").alias("kind"), F.col("r_regionkey").alias("k")))
+
+
+@add("cutoffs", "select p_partkey, p_retailprice, ((p_retailprice >= 1000)::int + (p_retailprice >= 1500)::int) as segment from part")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return X.cutoffs(table(spark, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice", [1000.0, 1500.0])
+
+
+@add("top_k", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return X.top_k(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 25, [F.col("o_totalprice").desc(), F.col("o_orderkey")])
+
+
+@add("top_k_by", "select o_custkey, o_orderkey, place from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as place from orders) where place <= 3")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return X.top_k_by(table(spark, d, "orders"), 3, ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")]).select("o_custkey", "o_orderkey", "place")
+
+
+@add("chunks", "select o_orderkey, (row_number() over (order by o_orderkey) - 1) // 1000 as chunk from orders")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return X.chunks(table(spark, d, "orders").select("o_orderkey"), 1000, ["o_orderkey"])
+
+
+@add("pages", f"""with recursive c as (select *, row_number() over (partition by "row" order by "column", ts desc) as i, {_BYTES} as n from ({EV}) where "row" < 'user-000030'),
+f as (select "row", i, 0 as page, n as filled from c where i = 1 union all
+select c."row", c.i, case when f.filled >= 200 then f.page + 1 else f.page end, case when f.filled >= 200 then c.n else f.filled + c.n end from f join c on c."row" = f."row" and c.i = f.i + 1)
+select c."row", c."column", c.ts, f.page::bigint as page from c join f on c."row" = f."row" and c.i = f.i""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    cells = parse("row < 'user-000030'").apply(ev(spark, d))
+    return X.pages(cells, 200, C.cell_size(), ["column", F.col("ts").desc()], ["row"]).select("row", "column", "ts", "page")
+
+
+@add("pseudo_numeric_order", "select s, row_number() over (order by try_cast(s as bigint) is null, try_cast(s as bigint), s) as place from (select distinct case when p_partkey % 3 = 0 then p_brand else p_partkey::varchar end as s from part)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "part").select(F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).otherwise(F.col("p_partkey").cast("string")).alias("s")).distinct()
+    return X.number(s, text.pseudo_numeric_order(F.col("s")), "place")
+
+
+@add("distinct_sorted", "select distinct o_orderpriority as p from orders")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_orderpriority").alias("p")).distinct()
+
+
+# windows: W2-W7, M10-M17
+@add("consecutive_intervals", "select lag(c_name) over (order by c_name) as lower, c_name as upper from (select distinct c_name from customer where c_custkey % 10 = 0)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return R.consecutive(table(spark, d, "customer").filter("c_custkey % 10 = 0").select("c_name").distinct(), "c_name")
+
+
+def _weights(spark: SparkSession, d: str) -> DataFrame:
+    return ev(spark, d).select("row", F.substring("column", 4, 1).alias("g"))
+
+
+@add("split_points", f"""with s as (select g, "row", sum(n) over (partition by g order by "row") as upto, n, sum(n) over (partition by g) as total from (select "column"[4:4] as g, "row", count(*) as n from ({EV}) group by 1, 2))
+select g, (upto * 4 // total)::int as part, "row" from s where upto * 4 // total > (upto - n) * 4 // total and upto < total""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return R.split_points(_weights(spark, d), 4, within=["g"])
+
+
+@add("median_row", f"""with s as (select g, "row", sum(n) over (partition by g order by "row") as upto, sum(n) over (partition by g) as total from (select "column"[4:4] as g, "row", sum({_BYTES})::bigint as n from ({EV}) group by 1, 2))
+select g, min("row") as split_row from s where upto * 2 >= total group by g""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    sizes = ev(spark, d).groupBy(F.substring("column", 4, 1).alias("g"), "row").agg(F.sum(C.cell_size()).alias("bytes"))
+    return R.median_row(sizes, within=["g"])
+
+
+@add("repair_tablets", """with t as (select s_nationkey as "table", case when s_suppkey % 5 = 0 then s_suppkey - 20 when s_suppkey % 7 = 0 then s_suppkey - 1 else lag(s_suppkey) over (partition by s_nationkey order by s_suppkey) end as lower, s_suppkey as upper from supplier),
+m as (select *, lag(upper) over w as prev, lead(lower) over w as nl, lead(upper) over w as nu, row_number() over w as i from t window w as (partition by "table" order by upper, lower nulls first))
+select "table", upper, case when nu is not null and (nl is null or nl < upper) then 'erase' when (i = 1 and lower is not null) or (i > 1 and coalesce(lower, -1000) > prev) then 'extend' else 'keep' end as action from m""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s, w = table(spark, d, "supplier"), Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    low = F.when(F.col("s_suppkey") % 5 == 0, F.col("s_suppkey") - 20).when(F.col("s_suppkey") % 7 == 0, F.col("s_suppkey") - 1).otherwise(F.lag("s_suppkey").over(w))
+    pad = lambda c: F.format_string("%08d", c + 1000)
+    t = s.select(F.col("s_nationkey").alias("table"), F.when(low.isNotNull(), pad(low)).alias("lower"), pad(F.col("s_suppkey")).alias("upper"))
+    return R.repair_tablets(t).select("table", (F.col("upper").cast("long") - 1000).alias("upper"), "action")
+
+
+@add("longest_chain", """with m as (select o_custkey, o_orderkey, o_orderstatus = 'F' as f, row_number() over (partition by o_custkey order by o_orderkey) as i from orders),
+c as (select o_custkey, min(o_orderkey) as first, max(o_orderkey) as last, count(*) as length, min(i) as i from (select *, i - row_number() over (partition by o_custkey order by o_orderkey) as g from m where f) group by o_custkey, g)
+select o_custkey, first, last, length from c qualify row_number() over (partition by o_custkey order by length desc, i) = 1""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return R.longest_chain(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), F.col("o_orderstatus") == "F", "o_orderkey", ["o_custkey"])
+
+
+@add("new_rows", f"select count(*) as rows from (select \"row\", lag(\"row\") over (partition by \"column\" order by \"row\", ts) as before from ({EV})) where before is distinct from \"row\"")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("column").orderBy("row", "ts")
+    return ev(spark, d).select("row", F.lag("row").over(w).alias("before")).filter("not (row <=> before)").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# intervals as data: IV4-IV6
+_DAYS = "select user_id % 50 as k, epoch_us(ts) as lo, epoch_us(ts) + (value * 1000000)::bigint * 600 as hi from events where user_id % 50 < 20"
+
+
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    from tessella.views import micros
+
+    e = table(spark, d, "events").filter("user_id % 50 < 20")
+    return e.select((F.col("user_id") % 50).alias("k"), micros("ts").alias("lo"), (micros("ts") + F.round(F.col("value") * 1_000_000).cast("long") * 600).alias("hi"))
+
+
+_ISLANDS = """select k, min(lo) as lo, max(hi) as hi from (select *, sum(new) over (partition by k order by lo, hi) as g from (select *, case when lo <= max(hi) over (partition by k order by lo, hi rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from ({0}) where lo < hi)) group by k, g"""
+
+
+@add("interval_union", _ISLANDS.format(_DAYS))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return R.coalesce_intervals(_spans(spark, d), ["k"])
+
+
+@add("interval_intersect", f"""with u as ({_ISLANDS.format(_DAYS)}) select a.k, greatest(a.lo, b.lo) as lo, least(a.hi, b.hi) as hi from (select k % 5 as k, lo, hi from u where k < 5) a join (select k % 5 as k, lo, hi from u where k >= 5 and k < 10) b on a.k = b.k and a.lo < b.hi and b.lo < a.hi""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    u = R.coalesce_intervals(_spans(spark, d), ["k"])
+    part = lambda a, b: u.filter((F.col("k") >= a) & (F.col("k") < b)).select((F.col("k") % 5).alias("k"), "lo", "hi")
+    return R.intersect_intervals(part(0, 5), part(5, 10), ["k"])
+
+
+@add("interval_members", f"select {_CELLS} from ({EV}) where (\"row\" >= 'user-000010' and \"row\" < 'user-000020') or \"row\" = 'user-000033' or \"row\" > 'user-000090'")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    from tessella.plans.intervals import IntervalSet
+
+    rows = IntervalSet([Interval.of("user-000010", "user-000015"), Interval.of("user-000012", "user-000020"), Interval.point("user-000033"), Interval.of("user-000090", low_closed=False)])
+    return ScanPredicate(row=rows).apply(ev(spark, d))
+
+
+@add("truncate_intervals", "select lower, upper from (select *, max(upper) over (order by lower, upper rows between unbounded preceding and 1 preceding) as reach from (select c_name[1:15] as lower, (lead(c_name) over (order by c_name))[1:15] as upper from customer) where lower < upper) where reach is null or upper > reach")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select("c_name", F.floor(F.col("c_custkey") / (1 << 40)).alias("g"))
+    pairs = c.select("g", F.col("c_name").alias("lower"), F.lead("c_name").over(Window.partitionBy("g").orderBy("c_name")).alias("upper")).filter("upper is not null")
+    return R.truncate_intervals(pairs, length=15, within=["g"]).select("lower", "upper")
+
+
+# tablets and fragments: A6-A8, M8, SC9, SC14, SC16, SC17
+_EDGES = "select l_suppkey as tablet, l_partkey as fragment, sum(l_quantity)::bigint as bytes, sum(case when l_returnflag = 'R' then 0 else l_quantity end)::bigint as used from lineitem where l_suppkey <= 50 group by 1, 2"
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem").filter("l_suppkey <= 50")
+    return li.groupBy(F.col("l_suppkey").alias("tablet"), F.col("l_partkey").alias("fragment")).agg(F.sum("l_quantity").cast("long").alias("bytes"), F.sum(F.when(F.col("l_returnflag") == "R", 0).otherwise(F.col("l_quantity"))).cast("long").alias("used"))
+
+
+@add("fragment_weights", f"with e as ({_EDGES}), c as (select tablet, count(*) as chain from e group by 1) select fragment, sum((chain - 1) * (bytes - used))::bigint as weight, count(*) as tablets from e join c using (tablet) group by fragment")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return R.fragment_weights(_edges(spark, d))
+
+
+@add("fragmentation", f"select count(*) as tablets, avg(chain) as mean_chain, max(chain) as longest_chain, round((1 - sum(used) / sum(bytes))::double, 9) as wasted from (select tablet, count(*) as chain, sum(bytes) as bytes, sum(used) as used from ({_EDGES}) group by 1)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return R.fragmentation(_edges(spark, d)).withColumn("wasted", F.round("wasted", 9))
+
+
+@add("tablet_sizes", f"select tablet, count(*) as cells, sum(bytes)::bigint as bytes from (select {_BYTES} as bytes, case when \"row\" <= 'user-000020' then 't0' when \"row\" <= 'user-000050' then 't1' when \"row\" <= 'user-000080' then 't2' else 't3' end as tablet from ({EV})) group by 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    tablets = spark.createDataFrame([(f"t{i}", s) for i, s in enumerate([*_SPLITS, None])], "tablet string, upper string")
+    owned = R.lookup_ranges(ev(spark, d), "row", tablets)
+    return owned.groupBy("tablet").agg(F.count(F.lit(1)).alias("cells"), F.sum(C.cell_size()).alias("bytes"))
+
+
+@add("scan_families", f"select {_CELLS} from ({OD}) where starts_with(\"column\", 'meta:') and \"row\" < '0000000200'")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    groups = {n: od(spark, d).filter(C.family(F.col("column")) == n) for n in ("meta", "amt")}
+    p = parse("column ~= 'meta:' and row < '0000000200'")
+    return reduce(DataFrame.union, [p.apply(groups[n]) for n in p.families()])
+
+
+@add("hash_buckets")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = ev(spark, d).select("row").distinct()
+    return rows.select("row", (hashing.super_fast_column(F.col("row")) % 8).alias("bucket"))
+
+
+@add("update_locations", "select c_name as \"row\", 'location' as \"column\", 0::bigint as ts, 'tablet://host' || (c_custkey % 4)::varchar || ':7000/T' as value from customer")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    cfg = table(spark, d, "customer").select(F.col("c_name").alias("row"), F.lit("config").alias("column"), F.lit(0).cast("long").alias("ts"), F.concat(F.lit("minRow = x\nserver = host"), (F.col("c_custkey") % 4).cast("string")).alias("value"))
+    return R.locations(cfg, "T", 7000)
+
+
+# samples: P1-P8
+@add("sample_cells")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return A.sample_cells(ev(spark, d), 0.5, 0.5)
+
+
+@add("reservoir")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return A.reservoir(table(spark, d, "orders").select("o_orderkey"), 100, ["o_orderkey"])
+
+
+@add("distinct_reservoir")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return A.distinct_reservoir(ev(spark, d), 20, "row")
+
+
+@add("bloom_filter")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    f = hashing.bloom_of(ev(spark, d).filter("row < 'user-000050'"), "row", 1 << 16, 5)
+    raw = f.dumps()
+    test = F.pandas_udf(lambda s: __import__("pandas").Series(hashing.BloomFilter.loads(raw).contains(s)), "boolean")
+    return ev(spark, d).select("row").distinct().withColumn("maybe", test("row"))
+
+
+# functions: F-*, T*
+@add("fn_alpha_normalize", "select doc_id, trim(translate(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as t from documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.alpha_normalize(F.col("text")).alias("t"))
+
+
+@add("fn_digests", "select doc_id, md5(text) as md5, md5(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as low, lower(hex(encode(text[1:20]))) as hex, replace(text, 'the', '<>')[1:80] as swapped from documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.md5("text").alias("md5"), F.md5(text.ascii_lower(t)).alias("low"), text.hex_string(F.encode(F.substring(t, 1, 20), "UTF-8")).alias("hex"), F.substring(text.replace_all(t, "the", "<>"), 1, 80).alias("swapped"))
+
+
+@add("fn_base64", "select c_custkey, rtrim(translate(base64(encode(c_name)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/', '+/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz'), '=') as b, c_name as back from customer")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    b = encode.base64_ordered(F.encode("c_name", "UTF-8"))
+    return table(spark, d, "customer").select("c_custkey", b.alias("b"), F.decode(encode.unbase64_ordered(b), "UTF-8").alias("back"))
+
+
+@add("fn_numbers", "select s, case when regexp_matches(s, '^-?[0-9]+$') then try_cast(s as bigint) end as i, case when regexp_matches(s, '^-?[0-9]+(\\.[0-9]*)?$') then try_cast(s as double) end as f from (select case p_partkey % 4 when 0 then p_partkey::varchar when 1 then p_size::varchar || '.5' when 2 then '-' || p_size::varchar else p_brand end as s from part)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    k, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    s = F.when(k % 4 == 0, k.cast("string")).when(k % 4 == 1, F.concat(n, F.lit(".5"))).when(k % 4 == 2, F.concat(F.lit("-"), n)).otherwise(F.col("p_brand"))
+    return table(spark, d, "part").select(s.alias("s")).select("s", text.parse_int(F.col("s")).alias("i"), text.parse_float(F.col("s")).alias("f"))
+
+
+@add("fn_parse_size", "select p_partkey, (p_size::bigint * case p_partkey % 4 when 0 then 1 when 1 then 1024 when 2 then 1048576 else 1073741824 end)::bigint as n from part")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    unit = F.element_at(F.array(*map(F.lit, ["", "k", "M", "g"])), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", text.parse_size(F.concat(F.col("p_size").cast("string"), unit)).alias("n"))
+
+
+@add("fn_size_string", "select n, case when n < 1024 then n::varchar || ' ' when n < 1048576 then printf('%.1fK', n / 1024) when n < 1073741824 then printf('%.1fM', n / 1048576) else printf('%.1fG', n / 1073741824) end as s from (select p_partkey * p_partkey * 16 as n from part)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select((F.col("p_partkey") * F.col("p_partkey") * 16).alias("n")).select("n", text.size_string(F.col("n")).alias("s"))
+
+
+_URL = r"^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?"
+
+
+@add("fn_uri_parts", f"select page_id, regexp_extract(url, '{_URL}', 2) as scheme, regexp_extract(url, '{_URL}', 4) as host, regexp_extract(url, '{_URL}', 5) as path, case when contains(url, '?') then regexp_extract(url, '{_URL}', 7) end as query, case when regexp_matches(url, '[?&]page=') then regexp_extract(url, '[?&]page=([^&#]*)', 1) end as page from pages")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", uri.part(u, "scheme").alias("scheme"), uri.host(u).alias("host"), uri.part(u, "path").alias("path"), uri.part(u, "query").alias("query"), uri.query_value(u, "page").alias("page"))
+
+
+@add("fn_uri_edit")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", uri.with_query_value(u, "ref", "y").alias("with_ref"), uri.with_query_value(u, "page", None).alias("without_page"), uri.push_scheme(u, "cache").alias("pushed"), uri.pop_scheme(uri.push_scheme(u, "cache")).alias("popped"))
+
+
+@add("fn_uri_normalize")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", uri.normalize_column(u).alias("normal"), uri.resolve_column(u, F.lit("../x?y")).alias("resolved"), uri.decode_column(uri.encode_column(u)).alias("back"))
+
+
+@add("fn_html_strip")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", html.strip_column(F.col("html")).alias("text"))
+
+
+@add("fn_html_tokens")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "pages").select("page_id", F.explode(html.token_column(F.col("html"))).alias("t"))
+    return t.groupBy("page_id", "t.kind", "t.tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("fn_robots", "select page_id, url, not (contains(url, '/en/') or page_id % 2 = 0 and not regexp_matches(url, '^[^/]*//[^/]*/fr')) as allowed from pages")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rules = [(0, "/", False), (0, "/fr", True), (0, "/en/", False), (1, "/en/", False)]
+    table_of = spark.createDataFrame(rules, "k long, prefix string, ok boolean")
+    p = table(spark, d, "pages").select("page_id", "url", (F.col("page_id") % 2).alias("k"))
+    return robots.match_rules(p, uri.part(F.col("url"), "path"), table_of, ["k"]).select("page_id", "url", "allowed")
+
+
+@add("fn_xml_escape", "select doc_id, replace(replace(replace(text[1:200], '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as x from documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.xml_escape(F.substring("text", 1, 200)).alias("x"))
+
+
+@add("fn_lines", "select doc_id, len(string_split(text, chr(10))) as n from documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.size(text.lines(F.col("text"))).cast("long").alias("n"))
+
+
+@add("fn_tuple_order", "select c_custkey, row_number() over (order by c_mktsegment, c_name) as place from customer")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select("c_custkey", encode.tuple_key(F.col("c_mktsegment"), F.col("c_name")).alias("key"))
+    return X.number(c, ["key"], "place").select("c_custkey", "place")
+
+
+@add("fn_hashes")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("c_name")
+    return table(spark, d, "customer").select("c_custkey", hashing.shift_add_hash(n).alias("shift_add"), hashing.super_fast_column(n).alias("fast"), hashing.adler_column(n).alias("adler"))
+
+
+@add("fn_bits", "select p_partkey, bit_count(p_partkey) as n from part")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", F.bit_count("p_partkey").cast("int").alias("n"))
+
+
+@add("fn_config", "select c_custkey, c_mktsegment as segment, c_nationkey::varchar as nation from customer")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    m = text.config_map(F.concat(F.lit("segment = "), "c_mktsegment", F.lit("\nnation = "), F.col("c_nationkey").cast("string")))
+    return c.select("c_custkey", m["segment"].alias("segment"), m["nation"].alias("nation"))
+
+
+@add("time_format", f"select ts, strftime(make_timestamp(ts), '%Y-%m-%dT%H:%M:%S.%fZ') as iso from ({EV})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    utc = F.date_format(F.to_utc_timestamp(F.timestamp_micros("ts"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    local = F.when(F.current_timezone() == "UTC", F.date_format(F.timestamp_micros("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).otherwise(utc)
+    return ev(spark, d).select("ts", F.concat(local, F.lit("Z")).alias("iso"))
+
+
+@add("time_parse", f"select ts, ts as back from ({EV})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return ev(spark, d).select("ts", formats.parse_time_column(formats.time_text(F.col("ts"))).alias("back"))
+
+
+# sinks: SC33
+@add("tuple_text", f"select '(\"' || \"row\" || '\",\"' || \"column\" || '\",@' || ts::varchar || ',\"' || value || '\")' as value from ({EV})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return formats.as_tuples(ev(spark, d))
+
+
+@add("xml_text", f"select '<cell><r>' || \"row\" || '</r><c>' || \"column\" || '</c><t>@' || (ts % 10000)::varchar || '</t><v>' || value || '</v></cell>' as value from ({EV})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return formats.as_xml(ev(spark, d).withColumn("ts", F.col("ts") % 10_000))
