@@ -33,7 +33,9 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LATIN = "[^\x00-\x1b\x20-\xb1´-¸º»¿-ɏ‐-‧]"
 LATIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 #: Entries of a worker's word cache; it is emptied when full.
-CACHE = 600_000
+CACHE = 250_000
+#: Entries of a worker's table of transitions and of its allowed arcs; each is emptied when full.
+MOVES = 300_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -151,7 +153,7 @@ class Automaton:
             at, byte = k >> 8, k & 255
             while at and at << 8 | byte not in step:
                 at = link[at]
-            if len(jump) > 1_000_000:
+            if len(jump) > MOVES:
                 jump.clear()
             to = jump[k] = step.get(at << 8 | byte, 0)
             return to
@@ -170,7 +172,7 @@ class Automaton:
                     if q >= 0:
                         ok = memo.get((q, t))
                         if ok is None:
-                            if len(memo) > 1_000_000:
+                            if len(memo) > MOVES:
                                 memo.clear()
                             ok = memo[q, t] = allowed(q, t)
                         if not ok:
@@ -281,3 +283,22 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded",
         return lambda rows: [pa.array([unpack(r) for r in rows], pa.string())]
 
     return map_column(df, ids, [T.StructField(out, T.StringType())], make, carry)
+
+
+def bpe_round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", out: str = "decoded", carry: list[str] | None = None) -> DataFrame:
+    """Append packed token ids and the text that these ids decode to: bpe_encode and bpe_decode in one pass.
+
+    One worker does both, so a core holds one automaton.  Nulls and empty texts give empty ids and texts.
+    """
+    shared = _compiled(df, path)
+
+    def make():  # noqa: ANN202
+        pack, unpack = _once(f"both {path}", lambda: (shared.value.packer(), shared.value.unpacker()))
+
+        def run(texts: list[str | None]) -> list[pa.Array]:
+            packed = [pack(t) for t in texts]
+            return [pa.array(packed, pa.binary()), pa.array([unpack(x) for x in packed], pa.string())]
+
+        return run
+
+    return map_column(df, text, [T.StructField(ids, T.BinaryType()), T.StructField(out, T.StringType())], make, carry)

@@ -39,9 +39,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    path = tokenizer_path()
-    ids = bpe.bpe_encode(docs, path, carry=["doc_id"])
-    both = bpe.bpe_decode(ids, path)
+    both = bpe.bpe_round_trip(docs, tokenizer_path(), carry=["doc_id"])
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
