@@ -48,9 +48,7 @@ def weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token ids of each text, and whether decoding gives the text back."""
-    path = tokenizer_path()
-    some = docs.select("doc_id", "lang", "source", "text")
-    both = bpe.bpe_decode(bpe.bpe_encode(some, path), path)
+    both = bpe.bpe_round_trip(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
     return both.select(
         "doc_id", "lang", "source",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
