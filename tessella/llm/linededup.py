@@ -52,7 +52,7 @@ def _keys(line: Column, length: Column, t: int) -> tuple[list[Column], list[Colu
 def near_lines(lines: DataFrame, texts: DataFrame, threshold: int, tag: str) -> DataFrame:
     """(g, h) of the lines that have an earlier line within the threshold, from distinct lines.
 
-    `texts` are all occurrences (g, h, d, n, line); `lines` has the first occurrence (d, n) of each line as f.
+    `texts` are all occurrences (g, h, d, s, n, line); `lines` has the first occurrence (d, s, n) of each line as f.
     """
     spark = lines.sparkSession
     t = threshold
@@ -81,7 +81,7 @@ def near_lines(lines: DataFrame, texts: DataFrame, threshold: int, tag: str) ->
     ends = light.select(F.col("g1").alias("g"), F.col("h1").alias("h")).union(light.select("g2", "h2")).union(crowd.select("g", "h"))
     wanted = cut(spark, lines.join(ends.distinct(), ["g", "h"], "left_semi").select("g", "h", "f"), f"{tag}-wanted")
     wanted_too = F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
-    held = texts.join(wanted_too, ["g", "h"]).filter("d <=> f.d and n = f.n").select("g", "h", "f", "line")
+    held = texts.join(wanted_too, ["g", "h"]).filter("d <=> f.d and s = f.s and n = f.n").select("g", "h", "f", "line")
     held = cut(spark, held.dropDuplicates(["g", "h"]), f"{tag}-texts")
 
     within = lambda x, y: F.levenshtein(F.col(x), F.col(y), t) >= 0
@@ -108,34 +108,37 @@ def dedup_lines(
 ) -> DataFrame:
     """Drop from every text the lines that came earlier; append n_dropped, and leave the other columns as they are.
 
-    Lines part at newlines and are ordered by (doc_id, line number), null ids first.  A line goes if the
+    Lines part at newlines and are ordered by (doc_id, hash of the text, line number), null ids first.  A line goes if the
     same line, or one within `threshold` edits, first occurs before it; a line that is near an earlier
     one goes wherever it occurs.  Lines of fewer than `min_chars` characters stay, and those of fewer
     than 15 times (threshold + 1) are compared exactly only.  Null texts stay null, empty ones empty;
-    rows that repeat an id count as one document, so both keep what one keeps; an empty table gives an
-    empty one; a column n_dropped in the input is an error.
+    rows that share an id, or have none, are documents of their own by their texts, and those that repeat
+    id and text count as one, so both keep what one keeps; an empty table gives an empty one; a column
+    n_dropped in the input is an error.
     """
     spark = df.sparkSession
     fresh(df, "n_dropped")
     split = F.split(F.col(text), "\n")
-    occ = df.select(F.col(doc_id).alias("d"), F.posexplode(split).alias("n", "line")).filter(F.length("line") >= min_chars)
-    occ = occ.select("d", "n", "line", F.xxhash64("line").alias("g"), F.hash("line").alias("h"))
+    # a row is known by its id and its text: ids may be null or repeat
+    body = F.xxhash64(F.col(text))
+    occ = df.select(F.col(doc_id).alias("d"), body.alias("s"), F.posexplode(split).alias("n", "line")).filter(F.length("line") >= min_chars)
+    occ = occ.select("d", "s", "n", "line", F.xxhash64("line").alias("g"), F.hash("line").alias("h"))
     # two hashes, 96 bits, stand for a line
-    small = occ.select("d", "n", "g", "h")
-    first = small.groupBy("g", "h").agg(F.min(F.struct("d", "n")).alias("f"), F.count(F.lit(1)).alias("c"))
+    small = occ.select("d", "s", "n", "g", "h")
+    first = small.groupBy("g", "h").agg(F.min(F.struct("d", "s", "n")).alias("f"), F.count(F.lit(1)).alias("c"))
     first = cut(spark, first, f"{tag}-first")
     near = near_lines(first, occ, threshold, tag) if threshold > 0 else None
     bad = first.filter("c > 1").select("g", "h", "f")
     if near is not None:
         bad = bad.join(near, ["g", "h"], "left_anti").union(near.select("g", "h", F.lit(None).cast(first.schema["f"].dataType)))
     bad = cut(spark, bad, f"{tag}-bad")
-    drops = small.join(bad, ["g", "h"]).filter("f is null or not (d <=> f.d and n = f.n)")
-    drops = drops.groupBy("d").agg(F.array_sort(F.collect_set("n")).alias("__p"))
+    drops = small.join(bad, ["g", "h"]).filter("f is null or not (d <=> f.d and s = f.s and n = f.n)")
+    drops = drops.groupBy("d", F.col("s").alias("__s")).agg(F.array_sort(F.collect_set("n")).alias("__p"))
     drops = cut(spark, drops, f"{tag}-drops")
     kept = F.expr(
         "flatten(transform(sequence(0, size(__p)), j -> slice(__l, if(j = 0, 1, __p[j - 1] + 2), if(j = size(__p), size(__l), __p[j]) - if(j = 0, 0, __p[j - 1] + 1))))"
     )
     # the same plan at every size: texts meet their drops by a sorted exchange
-    out = df.join(drops.hint("merge"), F.col(doc_id).eqNullSafe(F.col("d")), "left")
+    out = df.join(drops.hint("merge"), F.col(doc_id).eqNullSafe(F.col("d")) & (body == F.col("__s")), "left")
     clean = out.withColumn("__l", F.when(F.col("__p").isNotNull(), split)).withColumn("__t", F.when(F.col("__p").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
     return clean.select(*(F.col("__t").alias(c) if c == text else F.col(c) for c in df.columns), F.coalesce(F.size("__p"), F.lit(0)).alias("n_dropped"))
