@@ -19,8 +19,8 @@ ROUNDS = 8
 #: Patterns of the kinds, in order of precedence; all in the syntax of java.util.regex.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++){1,8}",
+    "secret": r"(?<![A-Za-z0-9])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,128}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?=[a-f]*[0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])",
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z/\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z/\-])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .\-]?)(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .\-]?[0-9]{2,4}){2,3}(?![0-9A-Za-z])|(?<![0-9A-Za-z+(])(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[.\-][0-9]{4}(?![0-9A-Za-z])",
@@ -94,6 +94,15 @@ def luhn_sum(digits: Column, check_included: bool = True) -> Column:
     )
 
 
+def _card_end(m: Column) -> Column:
+    """Length of the longest start of m that ends where a group of digits does and passes Luhn; null if none does."""
+    ends = F.filter(
+        F.sequence(F.length(m), F.lit(13), F.lit(-1)),
+        lambda n: F.substring(m, n + 1, F.lit(1)).isin("", " ", "-") & _let(_digits(F.substring(m, F.lit(1), n)), lambda d: F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0)),
+    )
+    return F.when(luhn_sum(_digits(m)) % 10 == 0, F.length(m)).otherwise(F.get(ends, F.lit(0)))
+
+
 def _card(m: Column, key: str) -> Column:
     def masked(d: Column) -> Column:
         body = permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
@@ -168,10 +177,13 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    return F.substring(F.concat(F.sha2(F.concat(F.lit(f"{key}|secret|1|"), m), 256), F.sha2(F.concat(F.lit(f"{key}|secret|2|"), m), 256)), F.lit(1), F.length(m))
+    """One pseudonym for a value in either case; upper case stays upper case."""
+    low = F.lower(m)
+    made = F.substring(F.concat(F.sha2(F.concat(F.lit(f"{key}|secret|1|"), low), 256), F.sha2(F.concat(F.lit(f"{key}|secret|2|"), low), 256)), F.lit(1), F.length(m))
+    return F.when((m == F.upper(m)) & (m != low), F.upper(made)).otherwise(made)
 
 
-_KINDS = {"email": _email, "iban": _iban, "secret": _secret, "ip": _ip, "date": _date, "phone": _phone, "ssn": _ssn, "card": _card}
+_KINDS = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "phone": _phone, "ssn": _ssn, "card": _card}
 
 
 def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -185,18 +197,40 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
         raise ValueError("pseudonyms need a secret key")
     fresh(df, "pii_count", "pii_kinds")
     t = F.col(text)
-    found = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
 
     def renamed(m: Column) -> Column:
+        """to: what stands for m; kind; rest: what of m comes after a card that ends early."""
         kind, new = F, F
         for name, make in _KINDS.items():
             test = m.contains("@") if name == "email" else m.rlike(f"^(?:{PATTERNS[name]})$")
-            kind, new = kind.when(test, F.lit(name)), new.when(test, make(m, key))
-        return _let(new, lambda x: F.struct(F.coalesce(x, m).alias("to"), F.when(x.isNotNull(), kind).alias("kind")))
-
-    out = df.withColumn("__m", F.transform(found, renamed))
-    hits = F.filter(F.col("__m.kind"), lambda k: k.isNotNull())
-    pieces = F.zip_with(F.split(t, ANY, -1), F.col("__m.to"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    new_text = F.when(F.size("__m") > 0, F.array_join(pieces, "")).otherwise(t)
-    out = out.withColumn("__t", new_text).withColumn("pii_count", F.coalesce(F.when(F.col("__m").isNotNull(), F.size(hits)), F.lit(0))).withColumn("pii_kinds", F.coalesce(F.array_sort(F.array_distinct(hits)), F.array().cast("array<string>")))
+            if name == "card":
+                made = _let(_card_end(m), lambda n: F.struct(F.when(n.isNotNull(), _card(F.substring(m, F.lit(1), n), key)).alias("to"), n.alias("n")))
+            else:
+                made = F.struct(make(m, key).alias("to"), F.length(m).alias("n"))
+            kind, new = kind.when(test, F.lit(name)), new.when(test, made)
+        taken = lambda x: x["to"].isNotNull()
+        return _let(new, lambda x: F.struct(F.coalesce(x["to"], m).alias("to"), F.when(taken(x), kind).alias("kind"), F.when(taken(x), F.substring(m, x["n"] + 1, F.length(m))).otherwise("").alias("rest")))
+
+    def scanned(t: Column, again: bool = True) -> Column:
+        """The text with its matches renamed, and their kinds; what follows a card that ends early is searched once more."""
+
+        def joined(m: Column) -> Column:
+            parts = F.split(t, ANY, -1)
+            if again:
+                plain = lambda rest, part: F.struct(F.concat(rest, part).alias("text"), F.array().cast("array<string>").alias("kinds"))
+                tail = lambda x, part: F.when(x["rest"] == "", plain(x["rest"], part)).otherwise(_let(F.concat(x["rest"], part), lambda y: F.coalesce(scanned(y, False), plain(y, F.lit("")))))
+            else:
+                tail = lambda x, part: F.struct(F.concat(x["rest"], part).alias("text"), F.array().cast("array<string>").alias("kinds"))
+
+            def shown(p: Column) -> Column:
+                each = F.zip_with(m, F.slice(p, F.lit(2), F.size(m)), lambda x, part: _let(tail(x, part), lambda y: F.struct(F.concat(x["to"], y["text"]).alias("text"), F.concat(F.array(x["kind"]), y["kinds"]).alias("kinds"))))
+                return _let(each, lambda e: F.struct(F.concat(p[0], F.array_join(e["text"], "")).alias("text"), F.filter(F.flatten(e["kinds"]), lambda k: k.isNotNull()).alias("kinds")))
+
+            return _let(parts, shown)
+
+        return _let(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), lambda found: F.when(F.size(found) > 0, _let(F.transform(found, renamed), joined)))
+
+    out = df.withColumn("__m", F.when(t.rlike("[0-9@]"), scanned(t)))
+    hits = F.coalesce(F.col("__m.kinds"), F.array().cast("array<string>"))
+    out = out.withColumn("__t", F.coalesce(F.col("__m.text"), t)).withColumn("pii_count", F.size(hits)).withColumn("pii_kinds", F.array_sort(F.array_distinct(hits)))
     return out.select(*(F.col("__t").alias(c) if c == text else F.col(c) for c in df.columns), "pii_count", "pii_kinds")
