@@ -646,3 +646,93 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @add("xml_text", f"select '<cell><r>' || \"row\" || '</r><c>' || \"column\" || '</c><t>@' || (ts % 10000)::varchar || '</t><v>' || value || '</v></cell>' as value from ({EV})")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return formats.as_xml(ev(spark, d).withColumn("ts", F.col("ts") % 10_000))
+
+
+# whole tables: what the queries of the same names without _whole show on a part
+_scan("pred_column_range_whole", od, OD, "'amt:' < column <= 'meta:priority'", "\"column\" > 'amt:' and \"column\" <= 'meta:priority'")
+
+
+@add("pred_family_pruning_whole", f"select {_CELLS} from ({OD}) where split_part(\"column\", ':', 1) = 'amt'")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    cells = od(spark, d).withColumn("family", C.family(F.col("column")))
+    return parse("column ~= 'amt:'").apply(cells).select("row", "column", "ts", "value")
+
+
+@add("scan_families_whole", f"select {_CELLS} from ({OD}) where starts_with(\"column\", 'meta:')")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    groups = {n: od(spark, d).filter(C.family(F.col("column")) == n) for n in ("meta", "amt")}
+    p = parse("column ~= 'meta:'")
+    return reduce(DataFrame.union, [p.apply(groups[n]) for n in p.families()])
+
+
+@add("extrapolate_whole", f"""with recursive t as (select row_number() over (order by k) as i, n from (select "row"[6:9] as k, count(*) as n from ({EV}) group by 1)),
+f as (select 0 as i, 0::bigint as mean, 0::bigint as total union all
+select t.i, (least(f.i, 10) * f.mean + t.n) // (least(f.i, 10) + 1), f.total + t.n from f join t on t.i = f.i + 1)
+select total + mean * 7 as estimate from f where i = (select max(i) from f)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    per = ev(spark, d).groupBy(F.substring("row", 6, 4).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    ordered = per.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "n"))), lambda x: x["n"]).alias("t"))
+    return ordered.select(A.extrapolate(F.col("t"), F.lit(7)).alias("estimate"))
+
+
+@add("merge_unique_whole", "select k, arg_min(name, src) as name, min(src)::int as input from (select c_nationkey as k, min(c_name) as name, 0 as src from customer group by 1 union all select s_nationkey, min(s_name), 1 from supplier group by 1) group by k")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_name").alias("name"))
+    b = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_name").alias("name"))
+    return X.merge_unique([a, b], ["k"])
+
+
+@add("merge_runs_whole", "select status, min(o_orderkey) as lower, max(o_orderkey) as upper, count(*) as joined from (select *, sum(new) over (order by o_orderkey) as run from (select o_orderkey, o_orderstatus as status, case when o_orderstatus is not distinct from lag(o_orderstatus) over (order by o_orderkey) then 0 else 1 end as new from orders)) group by status, run")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("lower"), F.col("o_orderkey").alias("upper"))
+    return R.merge_runs(o, ["status"], "upper").select("status", "lower", "upper", "joined")
+
+
+@add("pages_whole")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return X.pages(ev(spark, d), 200, C.cell_size(), ["column", F.col("ts").desc()], ["row"]).select("row", "column", "ts", "page")
+
+
+@add("consecutive_intervals_whole", "select lag(c_name) over (order by c_name) as lower, c_name as upper from (select distinct c_name from customer)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return R.consecutive(table(spark, d, "customer").select("c_name").distinct(), "c_name")
+
+
+_DAYS_WHOLE = "select user_id % 50 as k, epoch_us(ts) as lo, epoch_us(ts) + (value * 1000000)::bigint * 600 as hi from events"
+
+
+def _spans_whole(spark: SparkSession, d: str) -> DataFrame:
+    from tessella.views import micros
+
+    e = table(spark, d, "events")
+    return e.select((F.col("user_id") % 50).alias("k"), micros("ts").alias("lo"), (micros("ts") + F.round(F.col("value") * 1_000_000).cast("long") * 600).alias("hi"))
+
+
+@add("interval_union_whole", _ISLANDS.format(_DAYS_WHOLE))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return R.coalesce_intervals(_spans_whole(spark, d), ["k"])
+
+
+@add("interval_intersect_whole", f"""with u as ({_ISLANDS.format(_DAYS_WHOLE)}) select a.k, greatest(a.lo, b.lo) as lo, least(a.hi, b.hi) as hi from (select k % 25 as k, lo, hi from u where k < 25) a join (select k % 25 as k, lo, hi from u where k >= 25) b on a.k = b.k and a.lo < b.hi and b.lo < a.hi""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    u = R.coalesce_intervals(_spans_whole(spark, d), ["k"])
+    part = lambda f: u.filter(f).select((F.col("k") % 25).alias("k"), "lo", "hi")
+    return R.intersect_intervals(part(F.col("k") < 25), part(F.col("k") >= 25), ["k"])
+
+
+_EDGES_WHOLE = "select l_suppkey as tablet, l_partkey as fragment, sum(l_quantity)::bigint as bytes, sum(case when l_returnflag = 'R' then 0 else l_quantity end)::bigint as used from lineitem group by 1, 2"
+
+
+def _edges_whole(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    return li.groupBy(F.col("l_suppkey").alias("tablet"), F.col("l_partkey").alias("fragment")).agg(F.sum("l_quantity").cast("long").alias("bytes"), F.sum(F.when(F.col("l_returnflag") == "R", 0).otherwise(F.col("l_quantity"))).cast("long").alias("used"))
+
+
+@add("fragment_weights_whole", f"with e as ({_EDGES_WHOLE}), c as (select tablet, count(*) as chain from e group by 1) select fragment, sum((chain - 1) * (bytes - used))::bigint as weight, count(*) as tablets from e join c using (tablet) group by fragment")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return R.fragment_weights(_edges_whole(spark, d))
+
+
+@add("fragmentation_whole", f"select count(*) as tablets, avg(chain) as mean_chain, max(chain) as longest_chain, round((1 - sum(used) / sum(bytes))::double, 9) as wasted from (select tablet, count(*) as chain, sum(bytes) as bytes, sum(used) as used from ({_EDGES_WHOLE}) group by 1)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return R.fragmentation(_edges_whole(spark, d)).withColumn("wasted", F.round("wasted", 9))
