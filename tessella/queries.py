@@ -736,3 +736,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @add("fragmentation_whole", f"select count(*) as tablets, avg(chain) as mean_chain, max(chain) as longest_chain, round((1 - sum(used) / sum(bytes))::double, 9) as wasted from (select tablet, count(*) as chain, sum(bytes) as bytes, sum(used) as used from ({_EDGES_WHOLE}) group by 1)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return R.fragmentation(_edges_whole(spark, d)).withColumn("wasted", F.round("wasted", 9))
+
+
+# whole texts, as digests
+@add("fn_digests_whole", "select doc_id, md5(lower(hex(encode(text)))) as hex, md5(replace(text, 'the', '<>')) as swapped from documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.md5(text.hex_string(F.encode(t, "UTF-8"))).alias("hex"), F.md5(text.replace_all(t, "the", "<>")).alias("swapped"))
+
+
+@add("fn_xml_escape_whole", "select doc_id, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) as x from documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.md5(text.xml_escape(F.col("text"))).alias("x"))
