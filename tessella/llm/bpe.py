@@ -302,3 +302,22 @@ def bpe_round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids
         return run
 
     return map_column(df, text, [T.StructField(ids, T.BinaryType()), T.StructField(out, T.StringType())], make, carry)
+
+
+def bpe_checked(df: DataFrame, path: str, text: str = "text", ids: str = "ids", same: str = "round_trip", carry: list[str] | None = None) -> DataFrame:
+    """Append packed token ids and whether they decode to the text; the decoded text stays in the worker.
+
+    Nulls and empty texts give empty ids, which decode to the empty text: a null text is read as one.
+    """
+    shared = _compiled(df, path)
+
+    def make():  # noqa: ANN202
+        pack, unpack = _once(f"both {path}", lambda: (shared.value.packer(), shared.value.unpacker()))
+
+        def run(texts: list[str | None]) -> list[pa.Array]:
+            packed = [pack(t) for t in texts]
+            return [pa.array(packed, pa.binary()), pa.array([unpack(x) == (t or "") for t, x in zip(texts, packed, strict=True)], pa.bool_())]
+
+        return run
+
+    return map_column(df, text, [T.StructField(ids, T.BinaryType()), T.StructField(same, T.BooleanType())], make, carry)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, map_column
+from .common import cut, fresh, map_column, small_batches
 
 #: Hash buckets of the trigrams; with the number of languages, this bounds the model.
 BUCKETS = 1 << 16
@@ -71,6 +71,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     Every task sums its own counts, so that what is shuffled is one row for each task, language and
     bucket, and what reaches the driver is languages times buckets.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +166,7 @@ def identify(
     says = F.when(F.array_contains(langs, F.col("__said")), F.transform(langs, lambda x: F.when(x == F.col("__said"), F.lit(float(np.log(TRUST)))).otherwise(F.lit(float(np.log(other))) if other > 0 else F.lit(0.0))))
     none = F.array(*(F.lit(0.0) for _ in names))
     rows = rows.withColumn("__ev", F.zip_with("__ll", F.coalesce(says, none), lambda a, b: a + b)).drop("__said")
-    if text not in kept:
-        rows = cut(spark, rows, f"{tag}-scored")
+    rows = cut(spark, rows, f"{tag}-scored")  # votes and results read the scores, no text is scored twice
     # levels of the address, by grouped aggregation from the finest upwards
     dotted = F.instr("__host", ".") > 0
     votes = rows.select("__host", _softmax(F.col("__ev")).alias("p"), (F.col("__n") > 0).alias("has")).filter("has")
