@@ -48,13 +48,8 @@ def weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token ids of each text, and whether decoding gives the text back."""
-    both = bpe.bpe_round_trip(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
-    return both.select(
-        "doc_id", "lang", "source",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        "ids",
-        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"),
-    )
+    both = bpe.bpe_checked(docs, tokenizer_path(), carry=["doc_id", "lang", "source"])
+    return both.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [
