@@ -3,13 +3,16 @@
 The automaton starts as one state with a loop for each byte.  For each merge (u, v) -> w, in order of
 rank, a merge gadget is put in: the state p that u leads to is copied without its v-arc, all u-arcs are
 led to the copy, and every state with a u-arc gets a w-arc to where p's v-arc led.  The result accepts
-just the token sequences that the merges make, one for each byte string.  As the target of an arc hangs
-on its label alone, and a w-arc stands wherever a u-arc stood, the table is kept as one row per merge
-(the copied state and the arc taken from it) plus the target of each label.
+just the token sequences that the merges make, one for each byte string.
 
-A word is encoded in one pass over its bytes: at every position the one token that the sequence of that
-prefix ends with is the automaton's state, and the labels that end at each position are read
-off their trie, whose failure links make it one step a byte.  Decoding emits arc labels.
+Compiled, a state is two numbers, the state it copies and the arc it lacks, and a label three: the merge
+that made it, its left part, and the state its arcs lead to (arcs of one label all lead to one state).
+A transition is read off these tables: a label that is older than the state is there if the copied state
+has it and it isn't the lacking one; a younger one is there if its left part is.
+
+A word is encoded in one pass over its bytes.  Its prefixes each have a state; of the labels that end at a
+byte (their trie, with failure links, yields them in one step a byte) just one has an arc from the state
+where it starts, and that arc leads to the state of the longer prefix.  Decoding emits arc labels.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ LATIN = "[^\x00-\x1b\x20-\xb1´-¸º»¿-ɏ‐-‧]"
 LATIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 #: Entries of a worker's word cache; it is emptied when full.
 CACHE = 250_000
-#: Entries of a worker's table of transitions and of its allowed arcs; each is emptied when full.
+#: Entries of a worker's tables of the trie's steps and of transitions that were read off; each is emptied when full.
 MOVES = 300_000
 
 
@@ -58,50 +61,43 @@ class Automaton:
         raw = {t: bytes(back[c] for c in t) for t in vocab}
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.label: dict[int, bytes] = {i: raw[t] for t, i in vocab.items()} | {i: s.encode() for s, i in self.special.items()}
-        self.right: dict[int, int] = {}
-        self.left: dict[int, int] = {}
-        self.born: dict[int, int] = {}  # the merge that made a token
         self.arcs: dict[bytes, int] = {raw[t]: i for t, i in vocab.items() if len(raw[t]) == 1}
-        # one state for each gadget: what it copies and the arc it lacks; target[label]: state of its arcs
-        self.parent, self.lacks = [0], [-1]
-        self.target: dict[int, int] = dict.fromkeys(self.arcs.values(), 0)
-        self.cut_at: dict[tuple[int, int], int] = {}  # (label, arc taken from its target): the gadget
-        for m, pair in enumerate(model["merges"], 1):
+        # states, by the number of the gadget that made them: what each copies and the arc it lacks
+        self.parent, self.lacks = array("i", [0]), array("i", [-1])
+        # labels: the gadget that made them (0: a byte), their left part, and the state that their arcs lead to
+        top = max(vocab.values()) + 1
+        self.born, self.left, self.target = array("i", [-1]) * top, array("i", [-1]) * top, array("i", [-1]) * top
+        for i in self.arcs.values():
+            self.born[i] = self.target[i] = 0
+        for pair in model["merges"]:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             u, v, w = vocab[a], vocab[b], vocab[a + b]
-            if w in self.born:
+            if self.born[w] >= 0:
                 raise ValueError("two merges make one token")
-            if u not in self.target or v not in self.target or not self.allowed(u, v):
+            if self.born[u] < 0 or self.born[v] < 0 or not self.has(self.target[u], v):
                 continue  # the arc is gone: this merge can never apply
             p, to = self.target[u], self.target[v]
             self.parent.append(p)
             self.lacks.append(v)
             self.target[u] = len(self.parent) - 1
-            self.target[w] = to if u != v else p
-            self.cut_at[u, v] = m
-            self.left[w], self.right[w], self.born[w] = u, v, m
+            self.target[w], self.left[w], self.born[w] = to, u, len(self.parent) - 1
             self.arcs[raw[a + b]] = w
 
-    def allowed(self, last: int, token: int) -> bool:
-        """Whether the state that `last` leads to has a `token` arc.
-
-        An arc was taken away either from the state of `last` itself or, before `last` was made, from the
-        state it inherited, which is that of its right part; and an arc exists only where the arc of its
-        left part existed when it was made.
-        """
-        y, y_end = last, 1 << 60
-        while True:
-            x, x_end = token, 1 << 60
-            while True:
-                m = self.cut_at.get((y, x))
-                if m is not None and m < y_end and m <= x_end:
-                    return False
-                if x not in self.left:
-                    break
-                x, x_end = self.left[x], self.born[x]
-            if y not in self.right:
-                return True
-            y, y_end = self.right[y], self.born[y]
+    def has(self, state: int, label: int) -> bool:
+        """Whether the state has an arc with this label."""
+        parent, lacks, born, left = self.parent, self.lacks, self.born, self.left
+        while state or born[label]:
+            if born[label] >= state:
+                label = left[label]
+            elif lacks[state] == label:
+                return False
+            else:
+                state = parent[state]
+        return True
+
+    def step(self, state: int, label: int) -> int:
+        """The state that the arc leads to, -1 where there is none."""
+        return self.target[label] if self.has(state, label) else -1
 
     def ends(self) -> tuple[dict[int, int], list[int], list[tuple[tuple[int, int], ...]]]:
         """Trie of the arc labels with its failure links: steps by (node << 8 | byte), links, and for each
@@ -139,27 +135,23 @@ class Automaton:
         return step, link, found
 
     def encoder(self) -> Callable[[bytes], list[int]]:
-        """A function from the bytes of one pre-split word to its tokens.
-
-        The labels that end at a byte are read off the trie; the one whose arc leaves the state at its
-        start is the last token of this prefix, and the state there.
-        """
-        step, link, found = self.ends()
-        allowed = self.allowed
-        memo: dict[tuple[int, int], bool] = {}
+        """A function from the bytes of one pre-split word to its tokens."""
+        trie, link, found = self.ends()
+        step = self.step
+        table: dict[int, int] = {}  # transitions (state << 24 | label) that were read off
         jump: dict[int, int] = {}
 
         def move(k: int) -> int:
             at, byte = k >> 8, k & 255
-            while at and at << 8 | byte not in step:
+            while at and at << 8 | byte not in trie:
                 at = link[at]
             if len(jump) > MOVES:
                 jump.clear()
-            to = jump[k] = step.get(at << 8 | byte, 0)
+            to = jump[k] = trie.get(at << 8 | byte, 0)
             return to
 
         def encode(word: bytes) -> list[int]:
-            state, size = [-1], [0]
+            state, tokens, size = [0], [-1], [0]
             at = end = 0
             for byte in word:
                 k = at << 8 | byte
@@ -168,22 +160,20 @@ class Automaton:
                     at = move(k)
                 end += 1
                 for t, n in found[at]:
-                    q = state[end - n]
-                    if q >= 0:
-                        ok = memo.get((q, t))
-                        if ok is None:
-                            if len(memo) > MOVES:
-                                memo.clear()
-                            ok = memo[q, t] = allowed(q, t)
-                        if not ok:
-                            continue
-                    # the start state has an arc for every token that a gadget made
-                    state.append(t)
-                    size.append(n)
-                    break
+                    k = state[end - n] << 24 | t
+                    to = table.get(k)
+                    if to is None:
+                        if len(table) > MOVES:
+                            table.clear()
+                        to = table[k] = step(state[end - n], t)
+                    if to >= 0:
+                        state.append(to)
+                        tokens.append(t)
+                        size.append(n)
+                        break
             out = []
             while end:
-                out.append(state[end])
+                out.append(tokens[end])
                 end -= size[end]
             out.reverse()
             return out
