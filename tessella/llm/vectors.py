@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 SEED = 20
 
 
-def packed(df: DataFrame, vec_id: str, embedding: str, label: str | None = None) -> DataFrame:
-    """(vec_id, label, v) of every row: v holds the components as doubles (binary), null for vectors that take no part.
+def packed(df: DataFrame, vec_id: str, embedding: str, label: str | None = None, kind: str = "<f8") -> DataFrame:
+    """(vec_id, label, v) of every row: v holds the components (binary, doubles by default), null for vectors that take no part.
 
     These are null, empty and zero vectors and those that hold a null or a component that isn't finite.
     Single-precision components are widened exactly.
@@ -30,17 +30,17 @@ def packed(df: DataFrame, vec_id: str, embedding: str, label: str | None = None)
                 if e.is_valid and len(e.values) and not e.values.null_count:
                     a = e.values.to_numpy(zero_copy_only=False)
                     if np.isfinite(a).all() and a.any():
-                        v = a.tobytes()
+                        v = a.astype(kind).tobytes()
                 out.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["vec_id", "label", "v"])
 
     return src.mapInArrow(run, "vec_id long, label string, v binary")
 
 
-def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Rows of packed vectors of one dimension."""
+def matrix(column: pa.Array | pa.ChunkedArray, kind: str = "<f8") -> np.ndarray:
+    """Rows of packed vectors of one dimension, as doubles."""
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 1))
+    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1).astype(np.float64, copy=False) if rows else np.zeros((0, 1))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
