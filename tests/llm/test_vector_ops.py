@@ -68,9 +68,14 @@ def test_hilbert_is_a_curve() -> None:
     assert (np.abs(np.diff(c[np.argsort(k)], axis=0)).sum(axis=1) == 1).all()
 
 
-def test_neighbours_against_brute_force(spark, monkeypatch) -> None:  # noqa: ANN001
-    for name, n in (("WINDOW", 16), ("RUN", 64), ("QUERIES", 4)):
-        monkeypatch.setattr(ann, name, n)
+def brute_neighbours(good: dict, q: int) -> list[tuple[float, int]]:
+    ids = np.array([i for i in good if i != q])
+    d = np.sqrt(((np.array([good[i] for i in ids]) - good[q]) ** 2).sum(axis=1))
+    return [(float(d[j]), int(ids[j])) for j in np.lexsort((ids, d))[:10]]
+
+
+def test_neighbours_against_brute_force(spark) -> None:  # noqa: ANN001
+    """The least window holds all of a small table: the result is exact."""
     rows = [r for r in planted(300) if r[0] < 305]
     df = spark.createDataFrame(rows, SCHEMA)
     got: dict = {}
@@ -79,12 +84,28 @@ def test_neighbours_against_brute_force(spark, monkeypatch) -> None:  # noqa: AN
     good = {i: np.array(e, np.float64) for i, e, *_ in rows if e and None not in e and np.isfinite(np.array(e, float)).all() and np.array(e, float).any()}
     assert set(got) == {i for i in good if i % 20 == 0}
     for q, found in got.items():
-        want = sorted((float(np.sqrt(((good[q] - v) ** 2).sum())), i) for i, v in good.items() if i != q)[:10]
+        want = brute_neighbours(good, q)
         assert [x[1] for x in sorted(found)] == [i for _, i in want]
         assert [x[0] for x in sorted(found)] == list(range(1, 11))
         assert np.allclose([x[2] for x in sorted(found)], [s for s, _ in want], rtol=0, atol=1e-12)
 
 
+@pytest.mark.parametrize("path", ["sf0.1", "check_s"])
+def test_recall_of_the_windows(spark, monkeypatch, path: str) -> None:  # noqa: ANN001
+    """With windows far smaller than the table, at two sizes."""
+    for name, n in (("LEAST", 32), ("CELL", 256), ("QUERIES", 64), ("SAMPLE", 64)):
+        monkeypatch.setattr(ann, name, n)
+    df = spark.read.parquet(f"/root/testdata/{path}/embeddings.parquet")
+    good = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in df.collect() if r["embedding"]}
+    good = {i: v for i, v in good.items() if np.isfinite(v).all() and v.any()}
+    got: dict = {}
+    for r in ann.nearest_neighbours(df, "vec_id % 100 = 0", k=10).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = [len(got[q] & {i for _, i in brute_neighbours(good, q)}) for q in got]
+    assert len(got) == sum(i % 100 == 0 for i in good)
+    assert sum(hits) / (10 * len(hits)) >= 0.9
+
+
 def test_neighbours_of_few(spark) -> None:  # noqa: ANN001
     df = spark.createDataFrame([(0, [1.0, 0.0], 1, "x"), (1, [1.0, 0.0], 1, "x"), (1, [0.0, 1.0], 1, "x"), (None, [1.0, 1.0], 1, "x")], SCHEMA)
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest_neighbours(df, "vec_id = 0").collect()]
