@@ -1,17 +1,18 @@
 """Language-model scores: smoothed n-grams as an automaton of weighted arcs and failure arcs.
 
-A state is the last word; its arcs are the bigrams seen in training, and what has no arc takes the
-failure arc, whose weight is the state's back-off mass, to the state without history, which has every
-word.  With Dirichlet smoothing, c(h, w) the bigram's count and p(w) the unigram's probability,
+A state is a history that occurs in training: two words, one, or none.  Its arcs are the n-grams that go on
+from it, and lead to the longest history that the new word ends.  What has no arc takes the failure arc, to
+the state without the history's first word; the state without history has every word.  With Dirichlet
+smoothing, c the counts and K the weight of the shorter history,
 
-    arc(h, w) = (c(h, w) + K p(w)) / (c(h) + K)      fail(h) = K / (c(h) + K)
+    p(w | h) = (c(h w) + K p(w | h')) / (c(h) + K)      fail(h) = K / (c(h) + K)
 
-so that the arcs of a state sum up to one.
+so that arc(h, w) = p(w | h) where c(h w) > 0, and all that can follow a state sums up to one.
 
 The automaton grows with the corpus and is never in one place.  Documents are read in chunks of a few
-million tokens; a chunk asks, by sorted hash keys, for the counts of just its own words and bigrams;
-ranges of keys sum up what all chunks report and answer each of them; then the chunk, with the part of
-the automaton that its documents can reach, runs each document from left to right.  A word or bigram is
+million tokens; a chunk asks, by sorted keys, for the counts of just its own words and n-grams;
+ranges of keys sum up what all chunks report and answer each of them; then the chunk compiles the part of
+the automaton that its documents can reach, and runs through them from left to right.  A word or n-gram is
 sent once for each chunk that has it, so frequent ones make no hot key.
 """
 
@@ -27,18 +28,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, words_of
+from .common import cut, small_batches, words_of
 
 #: Tokens that a chunk holds, unless one document alone has more.
 CHUNK_TOKENS = 1_500_000
-#: Keys that a range should have, and the text bytes that stand for one.
-RANGE_KEYS, BYTES_A_KEY = 1_000_000, 12
-#: Weight of the unigrams in a bigram state, as a number of observations.
-PRIOR = 400.0
+#: Keys that a range should have, and the bytes of packed chunks that stand for one.
+RANGE_KEYS, BYTES_A_KEY = 1_000_000, 2
+#: Weight of the shorter history in states of one word and of two, as a number of observations.
+PRIOR = (400.0, 10.0)
+#: Words that have short names in keys, and the chunks whose frequent words they are.  They only make keys shorter.
+NAMED, NAMERS = 65_535, 4
+#: Tokens of a strip: texts are run through in strips, side by side.
+STRIP = 256
 #: Added to the unigram counts.
 ADD = 0.1
 #: What words can't be: the end of a text, and the start as a history.
-END, START = b" ", b"\n"
+END, START = b" ", b"\t"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -70,12 +75,25 @@ def _unpack_keys(b: bytes) -> np.ndarray:
     return np.cumsum(_unplanes(b, np.uint64), dtype=np.uint64)
 
 
-def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Keys of bigrams, of 56 bits, from the keys of their words."""
-    x = h * _MIX[0] + (w ^ (w >> np.uint64(29))) * _MIX[1]
+def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX[1]
     x = (x ^ (x >> np.uint64(27))) * _MIX[2]
-    return (x ^ (x >> np.uint64(31))) >> np.uint64(8)
+    return x ^ (x >> np.uint64(31))
+
+
+def gram_keys(words: list[np.ndarray], hashes: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """64-bit keys of n-grams, from columns of local words.
+
+    Where all words have names, these are the key, with the n-gram's order; others have a hash of 63 bits
+    (64-bit hashes of the words are mixed), marked by the lowest bit.
+    """
+    key, mixed = np.full(len(words[0]), len(words), np.uint64), np.full(len(words[0]), len(words), np.uint64)
+    named = np.ones(len(words[0]), bool)
+    for w in words:
+        named &= names[w] > 0
+        key = key << np.uint64(16) | names[w].astype(np.uint64)
+        mixed = _mixed(mixed * _MIX[0] + hashes[w])
+    return np.where(named, key << np.uint64(1), mixed | np.uint64(1))
 
 
 class Chunk:
@@ -104,74 +122,109 @@ class _Numbered(dict):
         return n
 
 
-def _bigrams(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """(history << 32 | word) at each position; a text's first word follows the start."""
+def _grams(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What each position has: its pair (number in `pairs`, the sorted (word before << 32 | word)), and whether
+    it has a triple, and the sorted triples (pair before << 32 | word).  A text's first word follows the start."""
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
-    before[np.cumsum(lengths) - lengths] = 1
-    return before.astype(np.int64) << 32 | ids
+    starts = np.cumsum(lengths) - lengths
+    before[starts] = 1
+    pairs, pair = np.unique(before.astype(np.int64) << 32 | ids, return_inverse=True)
+    second = np.ones(len(ids), bool)
+    second[starts] = False
+    triple = np.zeros(len(ids), np.int64)
+    triple[1:] = pair[:-1] << 32 | ids[1:]
+    return pairs, pair, second, triple
+
+
+def _planned(x: dict) -> dict:
+    """A chunk's row with its arrays: words and their hashes, tokens, pairs and triples."""
+    from xxhash import xxh64_intdigest
 
+    size = int.from_bytes(x["words"][:8], "little")
+    words = _ZSTD.decompress(x["words"][8:], size, asbytes=True).split(b"\n")
+    ids, lengths = _unplanes(x["ids"], np.int32), _unplanes(x["lengths"], np.int64)
+    pairs, pair, second, triple = _grams(ids, lengths)
+    hashes = np.fromiter((xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+    return {"words": words, "hashes": hashes, "ids": ids, "lengths": lengths, "pairs": pairs, "pair": pair, "triple": triple[second], "triples": np.unique(triple[second]), "second": second}
 
-def _asked(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the chunk's words and bigrams, by the order of local ids, and their counts in training."""
-    from xxhash import xxh64_intdigest
 
-    ids = np.concatenate(chunk.parts)
-    lengths = np.fromiter(map(len, chunk.parts), np.int64, len(chunk.parts))
-    train = np.repeat(np.fromiter((not held_out(d) for d in chunk.docs), bool, len(chunk.docs)), lengths)
-    uk = np.fromiter((xxh64_intdigest(w, 42) for w in chunk.vocabulary), np.uint64, len(chunk.vocabulary))
-    uc = np.bincount(ids[train], minlength=len(uk))
-    both = np.sort(_bigrams(ids, lengths) << 1 | train)
-    first = np.ones(len(both), bool)
-    first[1:] = both[1:] >> 1 != both[:-1] >> 1
-    at = np.nonzero(first)[0]
-    codes = both[at] >> 1
-    bc = np.add.reduceat(both & 1, at)
-    return uk, uc, pair_keys(uk[codes >> 32], uk[codes & 0xFFFFFFFF]), bc
+def _keyed(c: dict, names: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the chunk's words, and those of its pairs followed by its triples."""
+    named = np.fromiter((names.get(w, 0) for w in c["words"]), np.int64, len(c["words"]))
+    a, b = c["pairs"] >> 32, c["pairs"] & 0xFFFFFFFF
+    at, w = c["triples"] >> 32, c["triples"] & 0xFFFFFFFF
+    return c["hashes"], np.concatenate([gram_keys([a, b], c["hashes"], named), gram_keys([a[at], b[at], w], c["hashes"], named)])
 
 
-CHUNKS = "chunk long, r int, docs binary, no_id binary, lengths binary, ids binary, keys binary, u binary, b binary, bkeys binary"
+def _dealt(keys: np.ndarray, log2: int) -> tuple[np.ndarray, list[int]]:
+    """Order of keys by range, then by key, and where ranges start and the last ends."""
+    r = (_mixed(keys) >> np.uint64(64 - log2)).astype(np.int64)
+    order = np.lexsort((keys, r))
+    return order, np.searchsorted(r[order], np.arange((1 << log2) + 1)).tolist()
 
 
-def _read(ranges_log2: int):  # noqa: ANN202
-    def rows_of(name: int, c: Chunk) -> Iterator[pa.RecordBatch]:
-        uk, uc, bk, bc = _asked(c)
-        ids = np.concatenate(c.parts)
-        lengths = np.fromiter(map(len, c.parts), np.int64, len(c.parts))
+CHUNKS = "chunk long, docs binary, no_id binary, lengths binary, ids binary, words binary"
+ASKS = "chunk long, r int, keys binary, u binary, gkeys binary, g binary"
+
+
+def _row(kinds: str, *values) -> pa.RecordBatch:  # noqa: ANN002
+    of = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in kinds.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([v], of[k]) for v, (_, k) in zip(values, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as chunks of token sequences."""
+    part, number, c = TaskContext.get().partitionId(), count(), Chunk()
+
+    def row() -> pa.RecordBatch:
         docs = np.fromiter((0 if d is None else d for d in c.docs), np.int64, len(c.docs))
         none = np.fromiter((d is None for d in c.docs), np.uint8, len(c.docs))
-        yield _batch([(name, -1, _planes(docs), none.tobytes(), _planes(lengths), _planes(ids), uk.tobytes(), None, None, None)])
-        uo, bo = np.argsort(uk), np.argsort(bk)
-        uk, uc, bk, bc = uk[uo], uc[uo], bk[bo], bc[bo]
-        starts = np.arange(1 << ranges_log2, dtype=np.uint64) << np.uint64(64 - ranges_log2) if ranges_log2 else np.zeros(1, np.uint64)
-        ua, ba = [*np.searchsorted(uk, starts).tolist(), len(uk)], [*np.searchsorted(bk, starts >> np.uint64(8)).tolist(), len(bk)]
-        for r in range(len(starts)):
-            i, j, k, m = ua[r], ua[r + 1], ba[r], ba[r + 1]
+        lengths = np.fromiter(map(len, c.parts), np.int64, len(c.parts))
+        words = b"\n".join(c.vocabulary)
+        packed = len(words).to_bytes(8, "little") + _ZSTD.compress(words, asbytes=True)
+        return _row(CHUNKS, part << 24 | next(number), _planes(docs), none.tobytes(), _planes(lengths), _planes(np.concatenate(c.parts)), packed)
+
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            s = b.slice(at, 256)
+            for doc_id, text in zip(s.column(0).to_pylist(), s.column(1).to_pylist(), strict=True):
+                c.add(doc_id, text)
+                if c.size >= CHUNK_TOKENS:
+                    yield row()
+                    c = Chunk()
+    if c.docs:
+        yield row()
+
+
+def _ask(log2: int, names):  # noqa: ANN001, ANN202
+    """Keys and training counts of each chunk's words and n-grams, a row for each range."""
+
+    def rows_of(x: dict) -> Iterator[pa.RecordBatch]:
+        c = _planned(x)
+        ids, docs = _unplanes(x["docs"], np.int64), np.frombuffer(x["no_id"], np.uint8)
+        train = np.repeat(np.fromiter((bool(z) or not held_out(int(d)) for d, z in zip(ids, docs, strict=True)), bool, len(ids)), c["lengths"])
+        u = np.bincount(c["ids"][train], minlength=len(c["words"]))
+        both = [np.bincount(c["pair"][train], minlength=len(c["pairs"])), np.bincount(np.searchsorted(c["triples"], c["triple"][train[c["second"]]]), minlength=len(c["triples"]))]
+        keys, gkeys = _keyed(c, names.value)
+        g = np.concatenate(both)
+        uo, ua = _dealt(keys, log2)
+        go, ga = _dealt(gkeys, log2)
+        keys, u, gkeys, g = keys[uo], u[uo].astype(np.uint32), gkeys[go], g[go].astype(np.uint32)
+        for r in range(1 << log2):
+            i, j, k, m = ua[r], ua[r + 1], ga[r], ga[r + 1]
             if i < j or k < m:
-                yield _batch([(name, r, None, None, None, None, _pack_keys(uk[i:j]), _planes(uc[i:j].astype(np.uint32)), _planes(bc[k:m].astype(np.uint32)), _pack_keys(bk[k:m]))])
+                yield _row(ASKS, x["chunk"], r, _pack_keys(keys[i:j]), _planes(u[i:j]), _pack_keys(gkeys[k:m]), _planes(g[k:m]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, c = TaskContext.get().partitionId(), count(), Chunk()
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                s = b.slice(at, 256)
-                for doc_id, text in zip(s.column(0).to_pylist(), s.column(1).to_pylist(), strict=True):
-                    c.add(doc_id, text)
-                    if c.size >= CHUNK_TOKENS:
-                        yield from rows_of(part << 24 | next(number), c)
-                        c = Chunk()
-        if c.docs:
-            yield from rows_of(part << 24 | next(number), c)
+            for at in range(b.num_rows):
+                yield from rows_of(b.slice(at, 1).to_pylist()[0])
 
     return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 8]
-    names = [x.split()[0] for x in CHUNKS.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-
 def _sum_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], int, int]:
     """Each list's keys with their sums over all lists; all counts, and the keys that have any."""
     k = np.concatenate(keys)
@@ -188,17 +241,17 @@ def _sum_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.n
     return np.split(out, np.cumsum([len(x) for x in keys])[:-1]), int(sums.sum()), int((sums > 0).sum())
 
 
-ANSWERS = "chunk long, r int, u binary, b binary, n long, v long"
+ANSWERS = "chunk long, r int, u binary, g binary, n long, v long"
 
 
 def _answer(t: pa.Table) -> pa.Table:
     rows = t.to_pylist()
     u, n, v = _sum_up([_unpack_keys(x["keys"]) for x in rows], [_unplanes(x["u"], np.uint32) for x in rows])
-    b, _, _ = _sum_up([_unpack_keys(x["bkeys"]) for x in rows], [_unplanes(x["b"], np.uint32) for x in rows])
+    g, _, _ = _sum_up([_unpack_keys(x["gkeys"]) for x in rows], [_unplanes(x["g"], np.uint32) for x in rows])
     # the range's totals go with one of its rows
     return pa.table({
         "chunk": pa.array([x["chunk"] for x in rows], pa.int64()), "r": pa.array([x["r"] for x in rows], pa.int32()),
-        "u": pa.array(map(_planes, u), pa.binary()), "b": pa.array(map(_planes, b), pa.binary()),
+        "u": pa.array(map(_planes, u), pa.binary()), "g": pa.array(map(_planes, g), pa.binary()),
         "n": pa.array([n, *[0] * (len(rows) - 1)], pa.int64()), "v": pa.array([v, *[0] * (len(rows) - 1)], pa.int64()),
     })
 
@@ -207,77 +260,137 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 class Automaton:
-    """The part of the model that one chunk can reach, as arrays over its local words and bigrams."""
+    """The part of the model that one chunk can reach.
+
+    States are numbered: 0 has no history, 1 + w that of a word, 1 + V + p that of a pair.  Arcs are sorted by
+    (state << 32 | label) and have a weight and the state that they lead to; 0 has an arc for each label,
+    every other state a failure arc.
+    """
 
-    def __init__(self, words: np.ndarray, total: int, distinct: int, prior: float) -> None:
-        self.c, self.prior = words, prior
-        #: weights of the arcs of the state without history
-        self.unigram = (words + ADD) / (total + ADD * (distinct + 1))
+    def __init__(self, words: np.ndarray, pairs: np.ndarray, c2: np.ndarray, triples: np.ndarray, c3: np.ndarray, total: int, distinct: int, prior: tuple[float, float]) -> None:
+        v, (one, two) = len(words), prior
+        p1 = (words + ADD) / (total + ADD * (distinct + 1))
         history = words.astype(np.float64)
         history[1] = words[0]  # as many starts as ends
-        self.mass = history + prior
-        self.fail = np.log10(prior / self.mass)
-
-    def run(self, codes: np.ndarray, known: np.ndarray, arcs: np.ndarray) -> np.ndarray:
-        """Log10 weights along the positions of texts: codes are (state << 32 | label), `known` the sorted
-        codes and `arcs` their counts.  A label that has an arc goes along it; another one takes the
-        failure arc and then the label's arc from the state without history."""
-        state, label = codes >> 32, codes & 0xFFFFFFFF
-        c = arcs[np.searchsorted(known, codes)]
-        by_arc = np.log10(c + self.prior * self.unigram[label]) - np.log10(self.mass[state])
-        by_failure = self.fail[state] + np.log10(self.unigram[label])
-        return np.where(c > 0, by_arc, by_failure)
-
-
-def _scorer(total: int, distinct: int, prior: float):  # noqa: ANN202
+        a, b = pairs >> 32, pairs & 0xFFFFFFFF
+        p2 = (c2 + one * p1[b]) / (history[a] + one)
+        pair, w = triples >> 32, triples & 0xFFFFFFFF
+        after = np.searchsorted(pairs, b[pair] << 32 | w)  # a triple's last two words
+        p3 = (c3 + two * p2[after]) / (c2[pair] + two)
+        self.root, self.root_to = np.log10(p1), np.where((history > 0) & (np.arange(v) > 0), 1 + np.arange(v), 0)
+        seen2, seen3 = np.nonzero(c2 > 0)[0], np.nonzero(c3 > 0)[0]
+        code = np.concatenate([(1 + a[seen2]) << 32 | b[seen2], (1 + v + pair[seen3]) << 32 | w[seen3]])
+        order = np.argsort(code)
+        self.code = code[order]
+        self.weight = np.log10(np.concatenate([p2[seen2], p3[seen3]]))[order]
+        # nothing follows the end of a text
+        self.to = np.concatenate([np.where(b[seen2] > 0, 1 + v + seen2, 0), np.where(w[seen3] > 0, 1 + v + after[seen3], 0)])[order]
+        self.fail = np.log10(np.concatenate([[1.0], one / (history + one), two / (c2 + two)]))
+        self.fail_to = np.concatenate([np.zeros(1 + v, np.int64), np.where(history[b] > 0, 1 + b, 0)])
+
+    def step(self, state: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weight, next state) of reading one label in each of some states: failure arcs until there is an arc."""
+        state, weight, to = state.copy(), np.zeros(len(state)), np.zeros(len(state), np.int64)
+        left = np.arange(len(state))
+        while len(left):
+            s, w = state[left], label[left]
+            done = s == 0
+            end = left[done]
+            weight[end] += self.root[label[end]]
+            to[end] = self.root_to[label[end]]
+            left, s, w = left[~done], s[~done], w[~done]
+            if not len(left):
+                break
+            key = s << 32 | w
+            at = np.searchsorted(self.code, key)
+            hit = np.zeros(len(left), bool)
+            inside = at < len(self.code)
+            hit[inside] = self.code[at[inside]] == key[inside]
+            go = left[hit]
+            weight[go] += self.weight[at[hit]]
+            to[go] = self.to[at[hit]]
+            left = left[~hit]
+            weight[left] += self.fail[state[left]]
+            state[left] = self.fail_to[state[left]]
+        return weight, to
+
+    def run(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Log10 weight of each text, read from left to right.
+
+        Texts are cut into strips that are read side by side.  A state hangs on the last two words, so a
+        strip is entered two words early, from the state without history, and has its state when it starts.
+        """
+        starts = np.cumsum(lengths) - lengths
+        many = -(-lengths // STRIP)
+        doc = np.repeat(np.arange(len(lengths)), many)
+        first = STRIP * (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many))
+        size = np.minimum(STRIP, lengths[doc] - first)
+        order = np.argsort(-size, kind="stable")
+        doc, first, size = doc[order], first[order], size[order]
+        state = np.where(first == 0, 2, 0)  # a text begins in the state of the start
+        at = starts[doc] + first
+        later = np.nonzero(first > 0)[0]
+        for back in (2, 1):
+            state[later] = self.step(state[later], ids[at[later] - back])[1]
+        total = np.zeros(len(doc))
+        for k in range(int(size.max(initial=0))):
+            n = int(np.searchsorted(-size, -k))  # the strips that are longer than k
+            weight, state[:n] = self.step(state[:n], ids[at[:n] + k])
+            total[:n] += weight
+        return np.bincount(doc, weights=total, minlength=len(lengths))
+
+
+def _scorer(total: int, distinct: int, prior: tuple[float, float], log2: int, names):  # noqa: ANN001, ANN202
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        [x], answers = left.to_pylist(), sorted(right.select(["r", "u", "b"]).to_pylist(), key=lambda a: a["r"])
+        [x], answers = left.to_pylist(), sorted(right.select(["r", "u", "g"]).to_pylist(), key=lambda a: a["r"])
+        c = _planned(x)
         docs, none = _unplanes(x["docs"], np.int64), np.frombuffer(x["no_id"], np.uint8)
-        lengths, ids, uk = _unplanes(x["lengths"], np.int64), _unplanes(x["ids"], np.int32), np.frombuffer(x["keys"], np.uint64)
-        c = np.empty(len(uk), np.int64)
-        c[np.argsort(uk)] = np.concatenate([_unplanes(a["u"], np.int64) for a in answers])
-        codes = _bigrams(ids, lengths)
-        known = np.unique(codes)
-        arcs = np.empty(len(known), np.int64)
-        arcs[np.argsort(pair_keys(uk[known >> 32], uk[known & 0xFFFFFFFF]))] = np.concatenate([_unplanes(a["b"], np.int64) for a in answers])
-        model = Automaton(c, total, distinct, prior)
+        keys, gkeys = _keyed(c, names.value)
+        words, grams = np.empty(len(keys), np.int64), np.empty(len(gkeys), np.int64)
+        words[_dealt(keys, log2)[0]] = np.concatenate([_unplanes(a["u"], np.int64) for a in answers])
+        grams[_dealt(gkeys, log2)[0]] = np.concatenate([_unplanes(a["g"], np.int64) for a in answers])
+        n = len(c["pairs"])
+        model = Automaton(words, c["pairs"], grams[:n], c["triples"], grams[n:], total, distinct, prior)
+        ids, lengths = c["ids"].astype(np.int64), c["lengths"]
         starts = np.cumsum(lengths) - lengths
-        base = np.log10(model.unigram)
-        sums = np.empty((2, len(docs)))
-        sums[0] = np.add.reduceat(base[ids], starts)
-        # a million positions at a time, whole texts
-        at = 0
-        while at < len(docs):
-            to = max(at + 1, int(np.searchsorted(starts, starts[at] + 1_000_000)))
-            a, b = starts[at], starts[to] if to < len(docs) else len(ids)
-            sums[1, at:to] = np.add.reduceat(model.run(codes[a:b], known, arcs), starts[at:to] - a)
-            at = to
         out = [None if z else int(d) for d, z in zip(docs, none, strict=True)]
         return pa.table({
             "doc_id": pa.array(out, pa.int64()), "held_out": pa.array([held_out(d) for d in out], pa.bool_()),
-            "n_tokens": pa.array(lengths), "n_known": pa.array(np.add.reduceat((c[ids] > 0).astype(np.int64), starts)),
-            "train_tokens": pa.array(np.full(len(docs), total)), "base_score": pa.array(sums[0]), "score": pa.array(sums[1]),
+            "n_tokens": pa.array(lengths), "n_known": pa.array(np.add.reduceat((words[ids] > 0).astype(np.int64), starts)),
+            "train_tokens": pa.array(np.full(len(docs), total)), "base_score": pa.array(np.add.reduceat(model.root[ids], starts)), "score": pa.array(model.run(ids, lengths)),
         })
 
     return score
 
 
-def lm_scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text", prior: float = PRIOR, tag: str = "lm") -> DataFrame:
+def _frequent(chunks: DataFrame) -> dict[bytes, int]:
+    """Names, from 1, of the most frequent words of some chunks."""
+    seen: dict[bytes, int] = {}
+    for x in chunks.select("ids", "words").limit(NAMERS).toLocalIterator():
+        size = int.from_bytes(x["words"][:8], "little")
+        words = _ZSTD.decompress(bytes(x["words"][8:]), size, asbytes=True).split(b"\n")
+        for w, n in zip(words, np.bincount(_unplanes(bytes(x["ids"]), np.int32), minlength=len(words)).tolist(), strict=True):
+            seen[w] = seen.get(w, 0) + n
+    best = sorted(seen, key=lambda w: (-seen[w], w))[:NAMED]
+    return {w: i for i, w in enumerate(best, 1)}
+
+
+def lm_scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text", prior: tuple[float, float] = PRIOR, tag: str = "lm") -> DataFrame:
     """Train on all texts but the held-out ones and score every text: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Null and empty texts are one end; rows that repeat, with or without an id, are texts of their own,
     and one without an id is trained on; an empty table gives an empty one; other columns are ignored,
-    but none may have a name that the result has, apart from the id.
+    whatever their names.
     """
     spark = df.sparkSession
+    small_batches(spark)
     src = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    fresh(src, "score", "base_score")
-    size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = cut(spark, src.mapInArrow(_read, CHUNKS), f"{tag}-chunks")
+    size = chunks.agg(F.sum(F.octet_length("ids") + F.octet_length("words"))).first()[0] or 0
     log2 = max(4, int(size / BYTES_A_KEY / RANGE_KEYS).bit_length())
-    chunks = cut(spark, src.mapInArrow(_read(log2), CHUNKS), f"{tag}-chunks")
-    asked = chunks.filter("r >= 0").select("chunk", "r", "keys", "u", "b", "bkeys")
+    names = spark.sparkContext.broadcast(_frequent(chunks))
+    asked = chunks.mapInArrow(_ask(log2, names), ASKS)
     answers = cut(spark, asked.groupBy("r").applyInArrow(_answer, ANSWERS), f"{tag}-answers")
     total = answers.agg(F.sum("n"), F.sum("v")).first()
-    texts = chunks.filter("r = -1").select("chunk", "docs", "no_id", "lengths", "ids", "keys")
-    score = _scorer(int(total[0] or 0), int(total[1] or 0), prior)
-    return texts.groupBy("chunk").cogroup(answers.select("chunk", "r", "u", "b").groupBy("chunk")).applyInArrow(score, SCORES)
+    score = _scorer(int(total[0] or 0), int(total[1] or 0), prior, log2, names)
+    return chunks.groupBy("chunk").cogroup(answers.select("chunk", "r", "u", "g").groupBy("chunk")).applyInArrow(score, SCORES)
