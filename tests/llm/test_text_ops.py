@@ -62,6 +62,40 @@ def test_bpe_random_texts() -> None:
         assert unpack(pack(s)) == t.decode(ids, skip_special_tokens=False)
 
 
+def test_gadgets_are_the_construction(tmp_path) -> None:  # noqa: ANN001
+    """The compiled tables against the automaton built arc by arc, over a vocabulary of a few merges."""
+    import json
+
+    r = random.Random(11)
+    for case in range(30):
+        tokens, merges = list("abc"), []
+        while len(merges) < 14:
+            a, b = r.choice(tokens), r.choice(tokens)
+            if a + b not in tokens:
+                merges.append(f"{a} {b}")
+                tokens.append(a + b)
+        path = tmp_path / f"{case}.json"
+        path.write_text(json.dumps({"model": {"type": "BPE", "vocab": {t: i for i, t in enumerate(tokens)}, "merges": merges}, "added_tokens": []}))
+        got = bpe.Automaton(str(path))
+        arcs = [{t: 0 for t in "abc"}]
+        for m in merges:
+            u, v = m.split(" ")
+            p = arcs[0].get(u)
+            if p is None or v not in arcs[p]:
+                continue
+            to = arcs[p][v]
+            arcs.append({x: y for x, y in arcs[p].items() if x != v})
+            had = [q for q in arcs if u in q]
+            for q in had:
+                q[u] = len(arcs) - 1
+                q[u + v] = to
+        assert len(got.parent) == len(arcs)
+        for q, out in enumerate(arcs):
+            for i, t in enumerate(tokens):
+                if got.born[i] >= 0:
+                    assert got.step(q, i) == out.get(t, -1), (merges, q, t)
+
+
 def test_clashing_names_are_errors(spark) -> None:  # noqa: ANN001
     df = docs_of(spark, ["a"])
     with pytest.raises(ValueError, match="already"):
@@ -170,42 +204,58 @@ def edits(a: str, b: str) -> int:
     return row[-1]
 
 
-def brute_lines(texts: list[str | None]) -> list[str | None]:
+def brute_lines(texts: list[str | None], t: int = linededup.THRESHOLD) -> list[str | None]:
     first: dict[str, tuple[int, int]] = {}
-    for d, t in enumerate(texts):
-        for n, line in enumerate((t or "").split("\n")):
-            if len(line) >= linededup.MIN_CHARS:
+    for d, x in enumerate(texts):
+        for n, line in enumerate((x or "").split("\n")):
+            if line:
                 first.setdefault(line, (d, n))
     gone = set()
-    floor = linededup.MIN_SEGMENT * (linededup.THRESHOLD + 1)
     for a in first:
         for b in first:
-            if first[b] < first[a] and len(a) >= floor and len(b) >= floor and abs(len(a) - len(b)) <= linededup.THRESHOLD and edits(a, b) <= linededup.THRESHOLD:
+            if first[b] < first[a] and abs(len(a) - len(b)) <= t and (e := edits(a, b)) <= t and e < max(len(a), len(b)):
                 gone.add(a)
     out: list[str | None] = []
-    for d, t in enumerate(texts):
-        out.append(None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if len(x) < linededup.MIN_CHARS or (x not in gone and first[x] == (d, n))))
+    for d, x in enumerate(texts):
+        out.append(None if x is None else "\n".join(line for n, line in enumerate(x.split("\n")) if not line or (line not in gone and first[line] == (d, n))))
     return out
 
 
-def test_line_dedup_against_brute_force(spark) -> None:  # noqa: ANN001
+@pytest.mark.parametrize("t", [1, 2, 3])
+def test_banded_distance(spark, t: int) -> None:  # noqa: ANN001
+    from pyspark.sql import functions as F
+
+    r = random.Random(t)
+    word = lambda n: "".join(r.choice("ab\U0001f600é") for _ in range(n))
+    pairs = [(word(r.randrange(9)), word(r.randrange(9))) for _ in range(700)]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", linededup.edit_distance(F.col("a"), F.col("b"), t).alias("d")).collect()
+    assert len(rows) == len(pairs)
+    for x in rows:
+        want = edits(x["a"], x["b"])
+        assert x["d"] == want if want <= t else x["d"] > t
+
+
+@pytest.mark.parametrize(("t", "heavy"), [(1, 2), (2, 4)])
+def test_line_dedup_against_brute_force(spark, monkeypatch, t: int, heavy: int) -> None:  # noqa: ANN001
+    monkeypatch.setattr(linededup, "HEAVY", heavy)
     r = random.Random(4)
-    lines = ["".join(r.choice("abc de") for _ in range(r.choice([5, 20, 28, 30, 31, 45]))) for _ in range(40)]
+    lines = ["".join(r.choice("abc deé") for _ in range(r.choice([1, 1, 2, 2, 3, 4, 5, 7, 9, 12, 20, 30, 31]))) for _ in range(60)]
 
     def change(s: str) -> str:
         i = r.randrange(len(s))
-        return r.choice([s[:i] + "z" + s[i + 1 :], s[:i] + s[i + 1 :], s[:i] + "z" + s[i:]])
+        return r.choice([s[:i] + "z" + s[i + 1 :], s[:i] + s[i + 1 :], s[:i] + "z" + s[i:]]) or "q"
 
-    pool = lines + [change(x) for x in lines] + [change(change(x)) for x in lines]
-    texts = ["\n".join(r.choice(pool) for _ in range(r.randrange(1, 6))) for _ in range(60)] + ODD
-    got = {x["doc_id"]: x["text"] for x in linededup.dedup_lines(docs_of(spark, texts)).collect()}
-    assert [got[i] for i in range(len(texts))] == brute_lines(texts)
+    pool = lines + [change(x) for x in lines] + [change(change(x)) for x in lines] + list("abcdef") + ["ab", "ba", "bc", ""]
+    texts = ["\n".join(r.choice(pool) for _ in range(r.randrange(1, 6))) for _ in range(80)] + ODD
+    got = {x["doc_id"]: x["text"] for x in linededup.dedup_lines(docs_of(spark, texts), threshold=t).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_lines(texts, t)
 
 
 def test_crowded_lines(spark, monkeypatch) -> None:  # noqa: ANN001
     monkeypatch.setattr(linededup, "HEAVY", 3)
     base = "the very same first half of the line and "
     texts = [base + f"{i:06d} then a tail {i * i:08d}" for i in range(20)] * 2 + [base + f"{i:06d} then a tail {i * i:08d}x" for i in range(10)]
+    texts += [f"page {i} of 99, in a template that all lines share" for i in range(40)]
     got = {x["doc_id"]: x["text"] for x in linededup.dedup_lines(docs_of(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == brute_lines(texts)
 
