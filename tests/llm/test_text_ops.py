@@ -371,21 +371,33 @@ def test_lm_against_brute_force(spark) -> None:  # noqa: ANN001
     tokens = lambda t: [*words_of(t), None]
     uni: collections.Counter = collections.Counter()
     bi: collections.Counter = collections.Counter()
+    tri: collections.Counter = collections.Counter()
     for i, t in enumerate(texts):
-        if zlib.crc32(str(i).encode()) % 10:
+        if i is None or zlib.crc32(str(i).encode()) % 10:
             w = tokens(t)
             uni.update(w)
             bi.update(zip(["^", *w], w, strict=False))
-    n, v, k = sum(uni.values()), len(uni), lm.PRIOR
-    p = lambda a: (uni[a] + 0.1) / (n + 0.1 * (v + 1))
+            tri.update(zip(["^", *w], w, w[1:], strict=False))
+    n, v, (k2, k3) = sum(uni.values()), len(uni), lm.PRIOR
+    p1 = lambda a: (uni[a] + 0.1) / (n + 0.1 * (v + 1))
+    p2 = lambda h, a: (bi[h, a] + k2 * p1(a)) / ((uni[None] if h == "^" else uni[h]) + k2)
+    p3 = lambda g, h, a: (tri[g, h, a] + k3 * p2(h, a)) / (bi[g, h] + k3)
     for i, t in enumerate(texts):
         w, r = tokens(t), got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (zlib.crc32(str(i).encode()) % 10 == 0, len(w), sum(uni[a] > 0 for a in w), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10(p(a)) for a in w))
-        want = sum(math.log10((bi[h, a] + k * p(a)) / ((uni[None] if h == "^" else uni[h]) + k)) for h, a in zip(["^", *w], w, strict=False))
+        assert r["base_score"] == pytest.approx(sum(math.log10(p1(a)) for a in w))
+        want = math.log10(p2("^", w[0])) + sum(math.log10(p3(*x)) for x in zip(["^", *w], w, w[1:], strict=False))
         assert r["score"] == pytest.approx(want)
 
 
+def test_lm_rows_without_ids_and_with_the_results_names(spark) -> None:  # noqa: ANN001
+    rows = [(None, "a b a b", 1.0, True), (None, "a b", 2.0, None), (4, "a b", 3.0, None), (4, "a b", 3.0, None), (4, None, 3.0, None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, score double, held_out boolean")
+    got = lm.lm_scores(df).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got) == [("4", 1), ("4", 3), ("4", 3), ("None", 3), ("None", 5)]
+    assert len({r["score"] for r in got if r["n_tokens"] == 3}) == 1
+
+
 def test_lm_chunks_agree(spark, monkeypatch) -> None:  # noqa: ANN001
     df = sample(spark)
     one = {r["doc_id"]: r["score"] for r in lm.lm_scores(df).collect()}
@@ -401,13 +413,29 @@ def test_lm_beats_unigrams_on_held_out_texts(spark) -> None:  # noqa: ANN001
 
 
 def test_lm_weights_sum_to_one() -> None:
-    words = np.array([7, 0, 5, 3, 0])  # end, start, two words, one unknown
-    a = lm.Automaton(words, 15, 3, 50.0)
-    known = np.array([2 << 32 | 2, 2 << 32 | 3])
-    codes = np.array([2 << 32 | w for w in (0, 2, 3, 4)])
-    # counts of the history add up to its own
-    weights = 10 ** a.run(np.sort(codes), np.sort(np.concatenate([known, [2 << 32, 2 << 32 | 4]])), np.array([1, 2, 2, 0]))
-    assert weights.sum() == pytest.approx(1.0)
+    words = np.array([2, 0, 5, 3, 0])  # end, start, two words, one unknown
+    pairs = np.array([1 << 32 | 2, 2 << 32, 2 << 32 | 2, 2 << 32 | 3, 2 << 32 | 4, 3 << 32 | 2])
+    c2 = np.array([2, 2, 0, 3, 0, 3])
+    triples = np.array([0 << 32 | 3, 3 << 32 | 2, 5 << 32, 5 << 32 | 3])
+    a = lm.Automaton(words, pairs, c2, triples, np.array([2, 3, 2, 1]), 10, 3, (50.0, 4.0))
+    labels = np.array([0, 2, 3, 4])
+    for state in (0, 2 + 1, 3 + 1, 1 + 5 + 3, 1 + 5 + 5):
+        weight, _ = a.step(np.full(4, state), labels)
+        assert (10**weight).sum() == pytest.approx(1.0), state
+
+
+def test_lm_strips_agree(monkeypatch) -> None:  # noqa: ANN001
+    r = np.random.default_rng(1)
+    ids, lengths = r.integers(2, 9, 400), np.array([1, 200, 3, 196])
+    ids[np.cumsum(lengths) - 1] = 0
+    pairs, pair, second, triple = lm._grams(ids, lengths)
+    triples = np.unique(triple[second])
+    words = np.bincount(ids, minlength=9)
+    c2 = np.bincount(pair) * r.integers(0, 2, len(pairs))
+    model = lm.Automaton(words, pairs, c2, triples, np.minimum(1, c2[triples >> 32]) * (c2[np.searchsorted(pairs, (pairs[triples >> 32] & 0xFFFFFFFF) << 32 | triples & 0xFFFFFFFF)] > 0), 400, 8, (5.0, 2.0))
+    whole = model.run(ids, lengths)
+    monkeypatch.setattr(lm, "STRIP", 7)
+    assert model.run(ids, lengths) == pytest.approx(whole)
 
 
 # licences
