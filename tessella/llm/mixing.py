@@ -126,9 +126,9 @@ def mix(
 
     Sizes are words (null and empty texts: 0, never more than taken along).  A source's target is split
     into whole passes over it and a rest below its size; the rest is planned over the counts of its
-    exact lengths and filled with documents chosen by a seeded hash of their id.  A null source is one
-    source, last in order; rows that repeat an id are rows of their own; ties of the hash go by id; an
-    empty table gives an empty one.  Other columns pass (or those named in `keep`).
+    exact lengths and filled with documents chosen by a seeded hash of their id and text.  A null source is one
+    source, last in order; rows that repeat an id, or have none, are rows of their own; ties of the hash go by
+    id and text, and rows that share both are alike; an empty table gives an empty one.  Other columns pass (or those named in `keep`).
     """
     spark = df.sparkSession
     kept = list(df.columns) if keep is None else keep
@@ -137,8 +137,9 @@ def mix(
         *kept,
         F.col(source).alias("__s"),
         word_count(F.col(text)).alias("mix_size"),
-        F.xxhash64(F.lit(seed), F.col(doc_id)).alias("__h"),
+        F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("__h"),
         F.col(doc_id).alias("__i"),
+        F.xxhash64(F.col(text)).alias("__x"),
     ).withColumn("__b", F.pmod("__h", F.lit(SLICES)).cast("int"))
     if text not in kept:  # small rows: count the words once
         rows = cut(spark, rows, f"{tag}-sizes")
@@ -174,7 +175,7 @@ def mix(
     p = p.join(g, F.col("__s").eqNullSafe(F.col("gs"))).select(F.col("__s").alias("qs"), F.col("mix_size").alias("qz"), F.col("__b").alias("qb"), "quota", "passes", "mix_source_size", "mix_target")
     p = cut(spark, p, f"{tag}-quota")
     joined = rows.join(p, F.col("__s").eqNullSafe(F.col("qs")) & (F.col("mix_size") == F.col("qz")) & (F.col("__b") == F.col("qb")))
-    rank = F.row_number().over(Window.partitionBy("__s", "mix_size", "__b").orderBy("__h", "__i"))
+    rank = F.row_number().over(Window.partitionBy("__s", "mix_size", "__b").orderBy("__h", "__i", "__x"))
     repeats = F.col("passes") + F.when(rank <= F.col("quota"), 1).otherwise(0)
     return joined.withColumn("mix_repeats", repeats.cast("int")).select(*kept, "mix_size", "mix_source_size", "mix_target", "mix_repeats")
 

@@ -3,8 +3,8 @@
 A text is matched once for all kinds.  What a kind's check confirms (Luhn or mod-97 digits, octets up to
 255, a day of the calendar) is permuted within its format by a Feistel network whose round function is
 SHA-256 under a secret key, so that a value has the same pseudonym wherever it occurs, two values never
-have one, and the result passes the same check (but for SSNs, which go to any nine digits).  Addresses and secrets, which have no format that bounds
-them, get keyed hashes of a like form.
+have one, and the result passes the same check.  Addresses and secrets, which have no format that bounds them,
+get keyed hashes of a like form.
 """
 
 from __future__ import annotations
@@ -30,8 +30,13 @@ PATTERNS = {
 #: All kinds at once, behind a look at the characters that any of them starts with.
 ANY = "|".join(PATTERNS.values())
 
-#: Days of 400 Gregorian years, from 1800 on, as the product of the two halves of the dates' network.
-YEARS_FROM, DAYS_HIGH, DAYS_LOW = "1800-01-01", 189, 773
+#: Days are permuted within 400 Gregorian years, of which the years from 200 to 9799 have 24, and within the years before
+#: and after these: (first day, counted from the first of year 1; days as the product of a network's halves).
+DAY_ONE = "0001-01-01"
+ERA_FROM, ERAS, ERA = 72_683, 24, (189, 773)
+BEFORE, AFTER = (13, 5591), (184, 397)
+#: Areas, and groups with serials, of valid social security numbers.
+SSN_AREAS, SSN_REST = 898, 99 * 9_999
 
 
 def _prf(key: str, tag: Column, number: Column, i: Column) -> Column:
@@ -123,8 +128,13 @@ def _phone(m: Column, key: str) -> Column:
 
 
 def _ssn(m: Column, key: str) -> Column:
+    """Areas but 000, 666 and those from 900 on, groups but 00 and serials but 0000 go to such again."""
     good = ~m.rlike("^(000|666|9)") & ~m.rlike("^...-00|0000$")
-    return F.when(good, _let(permute_digits(_digits(m), key, "ssn"), lambda p: _refill(m, p)))
+    area, group, serial = (F.substring(m, i, n).cast("int") for i, n in ((1, 3), (5, 2), (8, 4)))
+    out = feistel(area - F.when(area > 666, 2).otherwise(1), (group - 1) * 9_999 + serial - 1, F.lit(SSN_AREAS), F.lit(SSN_REST), key, F.lit("ssn"))
+    new_area = lambda s: s["x"] + F.when(s["x"] >= 665, 2).otherwise(1)
+    digits = lambda s: F.format_string("%03d-%02d-%04d", new_area(s), F.floor(s["y"] / 9_999) + 1, s["y"] % 9_999 + 1)
+    return F.when(good, _let(out, digits))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -142,14 +152,24 @@ def _date(m: Column, key: str) -> Column:
     as_date = lambda y, mo, d: F.try_to_date(F.format_string("%04d-%02d-%02d", y, mo, d), "yyyy-MM-dd")
     day_first = as_date(y, a, b)
     month_first = F.when(slash, as_date(y, b, a))
-    shift = lambda x: feistel(F.floor(x / DAYS_LOW), x % DAYS_LOW, F.lit(DAYS_HIGH), F.lit(DAYS_LOW), key, F.lit("date"))
-    back = lambda s: F.date_add(F.lit(YEARS_FROM).cast("date"), (s["x"] * DAYS_LOW + s["y"]).cast("int"))
+    first = F.lit(DAY_ONE).cast("date")
+
+    def moved(n: Column) -> Column:
+        """Days since the first of year 1, permuted within the era that they are in."""
+        size = ERA[0] * ERA[1]
+        era = F.when(n < ERA_FROM, -1).otherwise(F.least(F.floor((n - ERA_FROM) / size), F.lit(ERAS)))
+        start = F.when(era < 0, 0).otherwise(ERA_FROM + era * size)
+        low = F.when(era < 0, BEFORE[1]).when(era < ERAS, ERA[1]).otherwise(AFTER[1])
+        high = F.when(era < 0, BEFORE[0]).when(era < ERAS, ERA[0]).otherwise(AFTER[0])
+        place = F.struct((n - start).cast("long").alias("n"), start.cast("long").alias("start"), low.alias("low"), high.alias("high"))
+        turned = lambda p: _let(feistel(F.floor(p["n"] / p["low"]), p["n"] % p["low"], p["high"], p["low"], key, F.lit("date")), lambda s: (p["start"] + s["x"] * p["low"] + s["y"]).cast("int"))
+        return _let(place, turned)
 
     def masked(d: Column) -> Column:
         style = F.when(~slash, F.lit("yyyy-MM-dd")).when(day_first.isNotNull(), F.lit("dd/MM/yyyy")).otherwise(F.lit("MM/dd/yyyy"))
-        shown = lambda s: F.when(style == "yyyy-MM-dd", F.date_format(back(s), "yyyy-MM-dd")).when(style == "dd/MM/yyyy", F.date_format(back(s), "dd/MM/yyyy")).otherwise(F.date_format(back(s), "MM/dd/yyyy"))
-        days = F.datediff(d, F.lit(YEARS_FROM).cast("date"))
-        return _let(days, lambda n: F.when(n.between(0, DAYS_HIGH * DAYS_LOW - 1), _let(shift(n), shown)))
+        back = lambda n: F.date_add(first, n)
+        shown = lambda n: F.when(style == "yyyy-MM-dd", F.date_format(back(n), "yyyy-MM-dd")).when(style == "dd/MM/yyyy", F.date_format(back(n), "dd/MM/yyyy")).otherwise(F.date_format(back(n), "MM/dd/yyyy"))
+        return _let(F.datediff(d, first), lambda n: F.when(n >= 0, _let(moved(n), shown)))
 
     return _let(F.coalesce(day_first, month_first), lambda d: F.when(d.isNotNull(), masked(d)))
 

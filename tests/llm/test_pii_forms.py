@@ -45,3 +45,24 @@ def test_what_follows_a_card_is_searched(spark) -> None:  # noqa: ANN001
     assert got[5] == given[5]
     assert [r["pii_count"] for r in rows] == [1, 1, 2, 1, 5, 0]
     assert rows[4]["pii_kinds"] == ["card", "email", "ip"]
+
+
+def test_social_security_numbers_stay_valid(spark) -> None:  # noqa: ANN001
+    given = [f"{a:03d}-{g:02d}-{n:04d}" for a in (1, 2, 665, 667, 668, 899) for g in (1, 50, 99) for n in (1, 77, 5000, 9999)]
+    got = pseudonyms(spark, given)
+    assert len(set(got)) == len(given)
+    assert all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", x) for x in got)
+    assert sum(a == b for a, b in zip(given, got, strict=True)) <= 1
+
+
+def test_dates_of_any_year(spark) -> None:  # noqa: ANN001
+    from datetime import date
+
+    given = ["0001-01-01", "0199-12-31", "0200-01-01", "1799-12-31", "1800-01-01", "2201-01-01", "9799-12-31", "9800-01-01", "9999-12-31", "2024-02-29", "1999-02-29", "31/12/1750"]
+    got = pseudonyms(spark, given)
+    assert got[10] == given[10]
+    for a, b in zip(given[:10], got[:10], strict=True):
+        x, y = date.fromisoformat(a), date.fromisoformat(b)
+        assert a != b
+        assert (x.year + 200) // 400 == (y.year + 200) // 400
+    assert got[11] != given[11]
