@@ -94,3 +94,81 @@ def interpolate(low: str, high: str, fraction: float, alphabet: str = string.pri
         d, n = divmod(n, base ** (length - 1 - i))
         out.append(digits[d - 1] if d else "")
     return "".join(out)
+
+
+def string_ord(s: bytes, longest: int | None = None, letters: bytes = bytes(range(256))) -> int:
+    """Place of a string among all strings over an alphabet of up to so many letters, in order; longer ones are cut."""
+    n = len(s) if longest is None else longest
+    base, place = len(letters), 0
+    below = [0] * (n + 1)  # strings of up to k letters, the empty one included
+    for k in range(n + 1):
+        below[k] = (below[k - 1] if k else 0) + base**k
+    for i, c in enumerate(s[:n]):
+        at = letters.find(c)
+        if at < 0:
+            raise ValueError(f"not a letter of the alphabet: {c!r}")
+        place += 1 + at * below[n - i - 1]
+    return place
+
+
+def string_chr(place: int, longest: int, letters: bytes = bytes(range(256))) -> bytes:
+    """The string of up to so many letters at a place."""
+    base = len(letters)
+    below = [(base ** (k + 1) - 1) // (base - 1) if base > 1 else k + 1 for k in range(longest + 1)]
+    if not 0 <= place < below[longest]:
+        raise ValueError(f"a place is from 0 to {below[longest] - 1}")
+    out = bytearray()
+    while place:
+        at, place = divmod(place - 1, below[longest - len(out) - 1])
+        out.append(letters[at])
+    return bytes(out)
+
+
+def interpolate_string(t: float, low: bytes, high: bytes, more: int = 8, letters: bytes = bytes(range(256))) -> bytes:
+    """A string at a fraction of the way between two, of their common start and up to so many letters more."""
+    from os.path import commonprefix
+
+    t, start = min(1.0, max(0.0, t)), len(commonprefix([low, high]))
+    a, b = (string_ord(x[start:], more, letters) for x in (low, high))
+    return low[:start] + string_chr(a + int((b - a) * t), more, letters)
+
+
+def encode_utf8(code: Column) -> Column:
+    """Bytes of a code point up to 2^31 - 1 in UTF-8, of up to six bytes; null for any other number."""
+    def bytes_of(n: int, mark: int) -> Column:
+        tail = [(128, 6 * k, 63) for k in range(n - 2, -1, -1)]
+        parts = [F.lit(mark).bitwiseOR(F.shiftright(c, 6 * (n - 1)))] + [F.lit(m).bitwiseOR(F.shiftright(c, s).bitwiseAND(F.lit(k))) for m, s, k in tail]
+        return F.unhex(F.concat(*(F.lpad(F.hex(p), 2, "0") for p in parts)))
+
+    c = code.cast("long")
+    out = F.when((c >= 0) & (c < 1 << 7), F.unhex(F.lpad(F.hex(c), 2, "0")))
+    for n, mark, top in ((2, 0xC0, 11), (3, 0xE0, 16), (4, 0xF0, 21), (5, 0xF8, 26), (6, 0xFC, 31)):
+        out = out.when((c >= 0) & (c < 1 << top), bytes_of(n, mark))
+    return out
+
+
+def from_millis(c: Column) -> Column:
+    """Microseconds of a raw time in milliseconds."""
+    return c.cast("long") * 1000
+
+
+def from_nanos(c: Column) -> Column:
+    """Microseconds of a raw time in nanoseconds, rounded down."""
+    return F.floor(c.cast("decimal(20,0)") / 1000).cast("long")
+
+
+def bits_set(c: Column, at: int) -> Column:
+    return c.bitwiseOR(F.lit(1 << at))
+
+
+def bits_flip(c: Column, at: int) -> Column:
+    return c.bitwiseXOR(F.lit(1 << at))
+
+
+def bits_test(c: Column, at: int) -> Column:
+    return F.getbit(c, F.lit(at)) == 1
+
+
+def mem_dump(raw: Column, word: int = 4) -> Column:
+    """Lower-case hex in words of so many bytes with spaces between."""
+    return F.regexp_replace(F.lower(F.hex(raw)), f"(.{{{2 * word}}})(?=.)", "$1 ")

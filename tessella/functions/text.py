@@ -103,6 +103,22 @@ def xml_escape(c: Column) -> Column:
     return out
 
 
+def xml_escape_quoted(c: Column, single: bool = True) -> Column:
+    """Escaped for an attribute in double quotes and, if asked for, in single ones."""
+    out = F.replace(xml_escape(c), F.lit('"'), F.lit("&quot;"))
+    return F.replace(out, F.lit("'"), F.lit("&apos;")) if single else out
+
+
+def xml_characters(c: Column) -> Column:
+    """Without the characters that XML 1.0 has no place for."""
+    return F.regexp_replace(c, r"[^\x09\x0A\x0D\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]", "")
+
+
+def host_key(host: Column) -> Column:
+    """A host's labels from the last to the first, so that order goes by domain."""
+    return F.array_join(F.reverse(F.split(F.lower(host), r"\.")), ".")
+
+
 def pseudo_numeric_order(c: Column) -> list[Column]:
     """Sort keys: whole numbers first, by value, then the rest."""
     n = parse_int(c)

@@ -66,3 +66,8 @@ def resume_after(cells: DataFrame, row: str, column: str, ts: int) -> DataFrame:
     """What comes behind a key in cell order."""
     same = F.col("row") == row
     return cells.filter((F.col("row") > row) | (same & (F.col("column") > column)) | (same & (F.col("column") == column) & (F.col("ts") < ts)))
+
+
+def tablet_log(log: DataFrame, tablet: str, name: str = "tablet") -> DataFrame:
+    """One tablet's writes in a log that several share."""
+    return log.filter(F.col(name) == tablet).select("seq", *KEY, "value")

@@ -28,44 +28,46 @@ def intersect_intervals(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFr
     return both.select(*on, F.greatest("__la", "__lb").alias("lo"), F.least("__ha", "__hb").alias("hi"))
 
 
-def lookup_ranges(df: DataFrame, value: str, tablets: DataFrame, name: str = "tablet", upper: str = "upper", buckets: int = 64) -> DataFrame:
+def _first_not_below(values: Column, x: Column) -> Column:
+    """Position, from 0, of the first of rising values that isn't below x; their number if there is none."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + F.lit(1))).cast("int"))
+
+    def halved(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = F.get(values, mid) < x
+        return F.struct(F.when((s["lo"] < s["hi"]) & below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when((s["lo"] < s["hi"]) & ~below, mid).otherwise(s["hi"]).alias("hi"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(values).alias("hi")), halved, lambda s: s["lo"])
+
+
+def lookup_ranges(df: DataFrame, value: str, tablets: DataFrame, name: str = "tablet", upper: str = "upper", fanout: int = 4096) -> DataFrame:
     """Append the owner of each value: the tablet with the least upper bound that isn't below it (null: unbounded).
 
-    An as-of search without a range join: values and bounds are put in one order, and the next bound from
-    below is carried back to each value.  That order is cut into buckets by quantiles of the bounds, so
-    that no task sees all of it; a bucket's values take the first bound of the next one where their own
-    has none after them.  A list of bounds is metadata, of a size checked here.
+    An as-of search without a range join or a shuffle by value: bounds are sorted into buckets of `fanout`.  One row
+    with the last bound of each bucket goes to all tasks, where a binary search finds a value's bucket; an equi-join,
+    which the planner broadcasts or shuffles by its size, brings the bucket's bounds, and a second search the owner.
+    Of tablets with one bound the least name counts; a null value has no owner.
     """
-    bounds = sorted((r[0] for r in tablets.select(upper).distinct().limit(10_001).collect()), key=lambda x: (x is None, x))
-    if len(bounds) > 10_000:
-        raise ValueError("more than 10,000 tablets: look them up level by level")
-    finite = [x for x in bounds if x is not None]
-    cuts = [finite[len(finite) * i // buckets] for i in range(1, buckets)] if len(finite) > buckets else finite[:-1]
-    place = F.lit(0)
-    if cuts:
-        arr = F.array(*(F.lit(c) for c in cuts))
-        place = F.size(F.filter(arr, lambda c: c < F.col(value)))
-    by_bucket: dict[int, list] = {}
-    for x in finite:
-        by_bucket.setdefault(sum(c < x for c in cuts), []).append(x)
-    owner = F.lit(None).cast(df.schema[value].dataType)
-    last = None
-    whens = None
-    for i in range(len(cuts), -1, -1):
-        own = by_bucket.get(i, [])
-        arr = F.array(*(F.lit(x) for x in own)) if own else None
-        hit = F.lit(last).cast(df.schema[value].dataType) if arr is None else F.coalesce(F.try_element_at(F.filter(arr, lambda x: x >= F.col(value)), F.lit(1)), F.lit(last).cast(df.schema[value].dataType))
-        whens = F.when(F.col("__place") == i, hit) if whens is None else whens.when(F.col("__place") == i, hit)
-        if own:
-            last = own[0]
-    found = df.withColumn("__place", place).withColumn("__upper", whens if whens is not None else owner).drop("__place")
-    names = tablets.select(F.col(upper).alias("__bound"), F.col(name))
-    return found.join(F.broadcast(names), F.col("__upper").eqNullSafe(F.col("__bound")), "left").drop("__upper", "__bound")
+    from .streams import number
+
+    ends = tablets.filter(F.col(upper).isNotNull()).groupBy(F.col(upper).alias("__u")).agg(F.min(name).alias("__n"))
+    placed = number(ends, ["__u"], "__i").withColumn("__b", F.floor((F.col("__i") - 1) / fanout).cast("long"))
+    own = placed.groupBy("__b").agg(F.array_sort(F.collect_list(F.struct("__u", "__n"))).alias("__own"))
+    tops = own.agg(F.transform(F.array_sort(F.collect_list(F.struct("__b", F.array_max("__own.__u").alias("u")))), lambda x: x["u"]).alias("__tops"))
+    open_end = tablets.agg(F.min(F.when(F.col(upper).isNull(), F.col(name))).alias("__rest"))
+    found = df.crossJoin(F.broadcast(tops.crossJoin(open_end)))  # one row
+    found = found.withColumn("__at", F.when(F.col(value).isNotNull(), _first_not_below(F.col("__tops"), F.col(value)).cast("long"))).drop("__tops")
+    found = found.join(own, F.col("__at") == F.col("__b"), "left")
+    hit = F.get("__own", _first_not_below(F.col("__own.__u"), F.col(value)))["__n"]
+    owner = F.when(F.col(value).isNotNull(), F.when(F.col("__b").isNull(), F.col("__rest")).otherwise(hit))
+    return found.withColumn(name, owner).drop("__at", "__rest", "__b", "__own")
 
 
 def consecutive(df: DataFrame, row: str = "row", within: Sequence[str] = ()) -> DataFrame:
     """Last rows of tablets as intervals (lower, upper]: the lower end is the row before, null at the start."""
-    return df.select(*within, F.lag(row).over(Window.partitionBy(*within).orderBy(row)).alias("lower"), F.col(row).alias("upper"))
+    from .streams import previous
+
+    return previous(df.select(*within, row), [row], row, within).select(*within, F.col("__prev")[row].alias("lower"), F.col(row).alias("upper"))
 
 
 def split_points(df: DataFrame, parts: int, row: str = "row", weight: Column | None = None, within: Sequence[str] = ()) -> DataFrame:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import materialise
+
 #: Build sides below this size, by the planner's own estimate, are broadcast; Spark shuffles the others.
 BROADCAST_BYTES = 32 << 20
 
@@ -37,12 +39,17 @@ def merge_unique(inputs: Sequence[DataFrame], key: Sequence[str], ordinal: str =
     return both.groupBy(*key).agg(least).select(*key, f"__kept.{ordinal}", *(f"__kept.{c}" for c in rest))
 
 
+def spread(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """Rows dealt to range partitions by the order, once and for all: `__part` rises with it."""
+    return materialise(df.sparkSession, df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "spread")
+
+
 def number(df: DataFrame, order: Sequence[str | Column], out: str) -> DataFrame:
     """Places from 1 over the whole order: range-partitioned, numbered in each partition, shifted by the counts before.
 
     The order has to be total.  What reaches one task is a count for each partition.
     """
-    parts = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    parts = spread(df, order)
     counts = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
@@ -51,6 +58,35 @@ def number(df: DataFrame, order: Sequence[str | Column], out: str) -> DataFrame:
     return placed.withColumn(out, (F.col("__place") + F.col("__before")).cast("long")).drop("__part", "__place", "__before")
 
 
+def previous(df: DataFrame, columns: Sequence[str], order: str, within: Sequence[str] = ()) -> DataFrame:
+    """Append `__prev`, some columns of the row before as a struct; null for a first row.
+
+    Without groups the order is cut into range partitions, and each takes the last row of those before it.
+    """
+    held = F.struct(*columns)
+    if within:
+        return df.withColumn("__prev", F.lag(held).over(Window.partitionBy(*within).orderBy(order)))
+    parts = spread(df, [order])
+    lasts = parts.groupBy("__part").agg(F.max_by(held, F.col(order)).alias("__last"))
+    lasts = lasts.select("__part", F.lag("__last").over(Window.orderBy("__part")).alias("__last"))  # a row for each partition
+    w = Window.partitionBy("__part").orderBy(order)
+    first = F.row_number().over(w) == 1
+    local = parts.withColumn("__prev", F.lag(held).over(w)).withColumn("__first", first).join(F.broadcast(lasts), "__part")
+    return local.withColumn("__prev", F.when(F.col("__first"), F.col("__last")).otherwise(F.col("__prev"))).drop("__part", "__first", "__last")
+
+
+def running_sum(df: DataFrame, value: str, order: str, out: str, within: Sequence[str] = ()) -> DataFrame:
+    """Append the sum of a column so far, the row's own included; without groups over range partitions."""
+    if within:
+        return df.withColumn(out, F.sum(value).over(Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    parts = spread(df, [order])
+    sums = parts.groupBy("__part").agg(F.sum(value).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    local = parts.withColumn("__sum", F.sum(value).over(Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    return local.join(F.broadcast(offsets), "__part").withColumn(out, F.col("__sum") + F.col("__before")).drop("__part", "__sum", "__before")
+
+
 def uniq(df: DataFrame, key: Sequence[str], ordinal: str, keep: str = "first") -> DataFrame:
     """One row of each key: the first or last by ordinal.  A struct's minimum, so it is summed up before the shuffle."""
     rest = [c for c in df.columns if c not in (*key, ordinal)]
@@ -65,11 +101,10 @@ def uniq_fold(df: DataFrame, key: Sequence[str], folds: dict[str, Column]) -> Da
 
 def runs(df: DataFrame, value: Sequence[str], ordinal: str, within: Sequence[str] = ()) -> DataFrame:
     """Append `run`, from 0: the place of each row's run of adjacent equal values, by ordinal, within each group."""
-    w = Window.partitionBy(*within).orderBy(ordinal)
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lag(c).over(w)) for c in value])
-    first = F.row_number().over(w) == 1
-    started = df.withColumn("__new", F.when(first | ~same, 1).otherwise(0))
-    return started.withColumn("run", (F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("long")).drop("__new")
+    marked = previous(df, value, ordinal, within)
+    same = F.col("__prev").isNotNull() & reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col("__prev")[c]) for c in value])
+    started = marked.withColumn("__new", F.when(same, 0).otherwise(1)).drop("__prev")
+    return running_sum(started, "__new", ordinal, "__run", within).withColumn("run", (F.col("__run") - 1).cast("long")).drop("__new", "__run")
 
 
 def uniq_adjacent(df: DataFrame, value: Sequence[str], ordinal: str, within: Sequence[str] = (), keep: str = "first") -> DataFrame:
@@ -82,11 +117,14 @@ def uniq_pairs(df: DataFrame, key: Sequence[str], ordinal: str, fold: Callable[[
     return df.groupBy(*key).applyInPandas(lambda g: fold(g.sort_values(ordinal)), schema)
 
 
-def cogroup(inputs: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
+def cogroup(inputs: Sequence[DataFrame], key: Sequence[str], keys: Sequence[Sequence[Column]] | None = None) -> DataFrame:
     """For each key of any input an array of structs per input (i0, i1, ...), sorted; empty where an input lacks it.
 
-    One shuffle for all inputs: their rows are tagged and grouped together, in place of outer joins one by one.
+    `keys` has, for each input, its own expressions for the key columns.  One shuffle for all inputs: their rows are
+    tagged and grouped together, in place of outer joins one by one.
     """
+    if keys is not None:
+        inputs = [x.select(*(c.alias(k) for k, c in zip(key, own, strict=True)), *(n for n in x.columns if n not in key)) for x, own in zip(inputs, keys, strict=True)]
     tagged = []
     names = [[c for c in x.columns if c not in key] for x in inputs]
     for i, x in enumerate(inputs):
@@ -162,6 +200,25 @@ def pages(df: DataFrame, limit: int, size: Column, order: Sequence[str | Column]
     return placed.join(ends, on).withColumn(out, page.cast("long")).select(*df.columns, out)
 
 
+def uniq_batches(df: DataFrame, key: Sequence[str], ordinal: str, fold: Callable[[pd.DataFrame], pd.DataFrame], batch: int = 1000) -> DataFrame:
+    """Equal keys folded in batches of rows in order, partial results first, until each key has one batch left.
+
+    `fold` takes and gives frames of the input's columns.  Rounds are by (key, batch), so a key's rows are never
+    gathered as a whole; a fold that doesn't shrink a full batch is an error.
+    """
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(ordinal))
+    held, rows = df, None
+    while True:
+        parted = materialise(df.sparkSession, held.withColumn("__b", F.floor((place - 1) / batch).cast("long")), "batches")
+        n, most = parted.agg(F.count(F.lit(1)), F.max("__b")).first()
+        if rows is not None and n >= rows:
+            raise ValueError("the fold doesn't shrink its batches")
+        held = parted.groupBy(*key, "__b").applyInPandas(lambda g: fold(g.drop(columns="__b").sort_values(ordinal)), df.schema)
+        if not most:
+            return held
+        rows = n
+
+
 def tee(df: DataFrame, *writers: Callable[[DataFrame], None]) -> None:
     """The same rows to several sinks, computed once."""
     held = df.persist()

@@ -13,9 +13,12 @@ from tessella.operators import cells as C
 from tessella.operators import ranges as R
 from tessella.operators import stats as A
 from tessella.operators import streams as X
-from tessella.plans.intervals import Interval
+from tessella.operators import workloads
+from tessella.operators.durable import shared_folder
+from tessella.plans.intervals import Interval, IntervalSet
 from tessella.plans.predicate import ScanPredicate, parse
-from tessella.sources import formats
+from tessella.sources import formats, records
+from tessella.sources.table import LocalTable, MetaTable, open_table
 from tessella.views import EV, EVLOG, OD, ev, evlog, od, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,7 +60,7 @@ _scan("pred_row_range", ev, EV, "'user-000010' <= row < 'user-000050'", "\"row\"
 _scan("pred_row_open", ev, EV, "row < 'user-000004' or row >= 'user-000080'", "\"row\" < 'user-000004' or \"row\" >= 'user-000080'")
 _scan("pred_row_prefix", ev, EV, r"row ~= 'user-\x30000'", "starts_with(\"row\", 'user-0000')")
 _scan("pred_column_family", od, OD, "column ~= 'meta:'", "starts_with(\"column\", 'meta:')")
-_scan("pred_column_range", od, OD, "'amt:' < column <= 'meta:priority' and row < '0000000500'", "\"column\" > 'amt:' and \"column\" <= 'meta:priority' and \"row\" < '0000000500'")
+_scan("pred_column_range", od, OD, "'amt:' < column <= 'meta:priority'", "\"column\" > 'amt:' and \"column\" <= 'meta:priority'")
 _scan("pred_time", ev, EV, "time < 2024-01-15T00:00:00Z", "ts < epoch_us(timestamp '2024-01-15')")
 _scan("pred_time_history", ev, EV, "time < 2024-01-15T00:00:00Z and history = 1", "ts < epoch_us(timestamp '2024-01-15')", "n <= 1")
 _scan("pred_history_2", ev, EV, "history = 2", "true", "n <= 2")
@@ -70,10 +73,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return parse("'user-000010' <= row < 'user-000040'").clip_rows(Interval.of("user-000020", "user-000090")).apply(ev(spark, d))
 
 
-@add("pred_family_pruning", f"select {_CELLS} from ({OD}) where split_part(\"column\", ':', 1) = 'amt' and \"row\" < '0000001000'")
+@add("pred_family_pruning", f"select {_CELLS} from ({OD}) where split_part(\"column\", ':', 1) = 'amt'")
 def _(spark: SparkSession, d: str) -> DataFrame:
     cells = od(spark, d).withColumn("family", C.family(F.col("column")))
-    return parse("column ~= 'amt:' and row < '0000001000'").apply(cells).select("row", "column", "ts", "value")
+    return parse("column ~= 'amt:'").apply(cells).select("row", "column", "ts", "value")
 
 
 # last writer wins, erasures, compaction: SC11, O5, M1, M2, M5, M6, PR15
@@ -210,9 +213,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 # aggregates: A1-A9
-@add("count_scan", f"select count(*) as cells from (select * from ({EV}) where \"column\" = 'ev:click' union all select * from ({OD}) where \"row\" < '0000000900')")
+@add("count_scan", f"select count(*) as cells from (select * from ({EV}) where \"column\" = 'ev:click' union all select * from ({OD}) where \"column\" = 'amt:cents')")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    both = parse("column = 'ev:click'").apply(ev(spark, d)).union(parse("row < '0000000900'").apply(od(spark, d)))
+    both = parse("column = 'ev:click'").apply(ev(spark, d)).union(parse("column = 'amt:cents'").apply(od(spark, d)))
     return both.agg(F.count(F.lit(1)).alias("cells"))
 
 
@@ -245,12 +248,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return A.profile(od(spark, d))
 
 
-@add("extrapolate", f"""with recursive t as (select row_number() over (order by k) as i, n from (select "row"[6:9] as k, count(*) as n from ({EV}) where "row" < 'user-000400' group by 1)),
+@add("extrapolate", f"""with recursive t as (select row_number() over (order by k) as i, n from (select "row"[6:9] as k, count(*) as n from ({EV}) group by 1)),
 f as (select 0 as i, 0::bigint as mean, 0::bigint as total union all
 select t.i, (least(f.i, 10) * f.mean + t.n) // (least(f.i, 10) + 1), f.total + t.n from f join t on t.i = f.i + 1)
 select total + mean * 7 as estimate from f where i = (select max(i) from f)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    per = parse("row < 'user-000400'").apply(ev(spark, d)).groupBy(F.substring("row", 6, 4).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    per = ev(spark, d).groupBy(F.substring("row", 6, 4).alias("k")).agg(F.count(F.lit(1)).alias("n"))
     ordered = per.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "n"))), lambda x: x["n"]).alias("t"))
     return ordered.select(A.extrapolate(F.col("t"), F.lit(7)).alias("estimate"))
 
@@ -275,24 +278,24 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return X.uniq_adjacent(table(spark, d, "events").select("user_id", "event_id", "event_type"), ["event_type"], "event_id", ["user_id"])
 
 
-@add("uniq_pairs", "select user_id, string_agg(event_type, ',' order by event_id) as types from events where event_type in ('error', 'signup') group by 1")
+@add("uniq_pairs", "select user_id, string_agg(event_type, ',' order by event_id) as types from events group by 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     import pandas as pd
 
-    e = table(spark, d, "events").filter("event_type in ('error', 'signup')").select("user_id", "event_id", "event_type")
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type")
     return X.uniq_pairs(e, ["user_id"], "event_id", lambda g: pd.DataFrame({"user_id": g["user_id"].iloc[:1], "types": [",".join(g["event_type"])]}), "user_id long, types string")
 
 
-@add("merge_unique", "select k, arg_min(name, src) as name, min(src)::int as input from (select c_nationkey as k, min(c_name) as name, 0 as src from customer where c_custkey % 3 = 0 group by 1 union all select s_nationkey, min(s_name), 1 from supplier group by 1) group by k")
+@add("merge_unique", "select k, arg_min(name, src) as name, min(src)::int as input from (select c_nationkey as k, min(c_name) as name, 0 as src from customer group by 1 union all select s_nationkey, min(s_name), 1 from supplier group by 1) group by k")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("k"), F.col("c_name").alias("name"))
+    a = table(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_name").alias("name"))
     b = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_name").alias("name"))
     return X.merge_unique([a, b], ["k"])
 
 
-@add("merge_runs", "select status, min(o_orderkey) as lower, max(o_orderkey) as upper, count(*) as joined from (select *, sum(new) over (order by o_orderkey) as run from (select o_orderkey, o_orderstatus as status, case when o_orderstatus is not distinct from lag(o_orderstatus) over (order by o_orderkey) then 0 else 1 end as new from orders where o_orderkey <= 2000)) group by status, run")
+@add("merge_runs", "select status, min(o_orderkey) as lower, max(o_orderkey) as upper, count(*) as joined from (select *, sum(new) over (order by o_orderkey) as run from (select o_orderkey, o_orderstatus as status, case when o_orderstatus is not distinct from lag(o_orderstatus) over (order by o_orderkey) then 0 else 1 end as new from orders)) group by status, run")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").filter("o_orderkey <= 2000").select(F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("lower"), F.col("o_orderkey").alias("upper"))
+    o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("lower"), F.col("o_orderkey").alias("upper"))
     return R.merge_runs(o, ["status"], "upper").select("status", "lower", "upper", "joined")
 
 
@@ -338,13 +341,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return X.chunks(table(spark, d, "orders").select("o_orderkey"), 1000, ["o_orderkey"])
 
 
-@add("pages", f"""with recursive c as (select *, row_number() over (partition by "row" order by "column", ts desc) as i, {_BYTES} as n from ({EV}) where "row" < 'user-000030'),
-f as (select "row", i, 0 as page, n as filled from c where i = 1 union all
-select c."row", c.i, case when f.filled >= 200 then f.page + 1 else f.page end, case when f.filled >= 200 then c.n else f.filled + c.n end from f join c on c."row" = f."row" and c.i = f.i + 1)
-select c."row", c."column", c.ts, f.page::bigint as page from c join f on c."row" = f."row" and c.i = f.i""")
+@add("pages")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    cells = parse("row < 'user-000030'").apply(ev(spark, d))
-    return X.pages(cells, 200, C.cell_size(), ["column", F.col("ts").desc()], ["row"]).select("row", "column", "ts", "page")
+    return X.pages(ev(spark, d), 200, C.cell_size(), ["column", F.col("ts").desc()], ["row"]).select("row", "column", "ts", "page")
 
 
 @add("pseudo_numeric_order", "select s, row_number() over (order by try_cast(s as bigint) is null, try_cast(s as bigint), s) as place from (select distinct case when p_partkey % 3 = 0 then p_brand else p_partkey::varchar end as s from part)")
@@ -353,15 +352,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return X.number(s, text.pseudo_numeric_order(F.col("s")), "place")
 
 
-@add("distinct_sorted", "select distinct o_orderpriority as p from orders")
+@add("distinct_sorted", "select p, row_number() over (order by p) as place from (select distinct o_orderpriority as p from orders)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select(F.col("o_orderpriority").alias("p")).distinct()
+    return X.number(table(spark, d, "orders").select(F.col("o_orderpriority").alias("p")).distinct(), ["p"], "place")
 
 
 # windows: W2-W7, M10-M17
-@add("consecutive_intervals", "select lag(c_name) over (order by c_name) as lower, c_name as upper from (select distinct c_name from customer where c_custkey % 10 = 0)")
+@add("consecutive_intervals", "select lag(c_name) over (order by c_name) as lower, c_name as upper from (select distinct c_name from customer)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return R.consecutive(table(spark, d, "customer").filter("c_custkey % 10 = 0").select("c_name").distinct(), "c_name")
+    return R.consecutive(table(spark, d, "customer").select("c_name").distinct(), "c_name")
 
 
 def _weights(spark: SparkSession, d: str) -> DataFrame:
@@ -406,13 +405,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 # intervals as data: IV4-IV6
-_DAYS = "select user_id % 50 as k, epoch_us(ts) as lo, epoch_us(ts) + (value * 1000000)::bigint * 600 as hi from events where user_id % 50 < 20"
+_DAYS = "select user_id % 50 as k, epoch_us(ts) as lo, epoch_us(ts) + (value * 1000000)::bigint * 600 as hi from events"
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
     from tessella.views import micros
 
-    e = table(spark, d, "events").filter("user_id % 50 < 20")
+    e = table(spark, d, "events")
     return e.select((F.col("user_id") % 50).alias("k"), micros("ts").alias("lo"), (micros("ts") + F.round(F.col("value") * 1_000_000).cast("long") * 600).alias("hi"))
 
 
@@ -424,11 +423,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return R.coalesce_intervals(_spans(spark, d), ["k"])
 
 
-@add("interval_intersect", f"""with u as ({_ISLANDS.format(_DAYS)}) select a.k, greatest(a.lo, b.lo) as lo, least(a.hi, b.hi) as hi from (select k % 5 as k, lo, hi from u where k < 5) a join (select k % 5 as k, lo, hi from u where k >= 5 and k < 10) b on a.k = b.k and a.lo < b.hi and b.lo < a.hi""")
+@add("interval_intersect", f"""with u as ({_ISLANDS.format(_DAYS)}) select a.k, greatest(a.lo, b.lo) as lo, least(a.hi, b.hi) as hi from (select k % 25 as k, lo, hi from u where k < 25) a join (select k % 25 as k, lo, hi from u where k >= 25) b on a.k = b.k and a.lo < b.hi and b.lo < a.hi""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     u = R.coalesce_intervals(_spans(spark, d), ["k"])
-    part = lambda a, b: u.filter((F.col("k") >= a) & (F.col("k") < b)).select((F.col("k") % 5).alias("k"), "lo", "hi")
-    return R.intersect_intervals(part(0, 5), part(5, 10), ["k"])
+    part = lambda f: u.filter(f).select((F.col("k") % 25).alias("k"), "lo", "hi")
+    return R.intersect_intervals(part(F.col("k") < 25), part(F.col("k") >= 25), ["k"])
 
 
 @add("interval_members", f"select {_CELLS} from ({EV}) where (\"row\" >= 'user-000010' and \"row\" < 'user-000020') or \"row\" = 'user-000033' or \"row\" > 'user-000090'")
@@ -447,11 +446,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 # tablets and fragments: A6-A8, M8, SC9, SC14, SC16, SC17
-_EDGES = "select l_suppkey as tablet, l_partkey as fragment, sum(l_quantity)::bigint as bytes, sum(case when l_returnflag = 'R' then 0 else l_quantity end)::bigint as used from lineitem where l_suppkey <= 50 group by 1, 2"
+_EDGES = "select l_suppkey as tablet, l_partkey as fragment, sum(l_quantity)::bigint as bytes, sum(case when l_returnflag = 'R' then 0 else l_quantity end)::bigint as used from lineitem group by 1, 2"
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").filter("l_suppkey <= 50")
+    li = table(spark, d, "lineitem")
     return li.groupBy(F.col("l_suppkey").alias("tablet"), F.col("l_partkey").alias("fragment")).agg(F.sum("l_quantity").cast("long").alias("bytes"), F.sum(F.when(F.col("l_returnflag") == "R", 0).otherwise(F.col("l_quantity"))).cast("long").alias("used"))
 
 
@@ -472,10 +471,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return owned.groupBy("tablet").agg(F.count(F.lit(1)).alias("cells"), F.sum(C.cell_size()).alias("bytes"))
 
 
-@add("scan_families", f"select {_CELLS} from ({OD}) where starts_with(\"column\", 'meta:') and \"row\" < '0000000200'")
+@add("scan_families", f"select {_CELLS} from ({OD}) where starts_with(\"column\", 'meta:')")
 def _(spark: SparkSession, d: str) -> DataFrame:
     groups = {n: od(spark, d).filter(C.family(F.col("column")) == n) for n in ("meta", "amt")}
-    p = parse("column ~= 'meta:' and row < '0000000200'")
+    p = parse("column ~= 'meta:'")
     return reduce(DataFrame.union, [p.apply(groups[n]) for n in p.families()])
 
 
@@ -521,10 +520,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.alpha_normalize(F.col("text")).alias("t"))
 
 
-@add("fn_digests", "select doc_id, md5(text) as md5, md5(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as low, lower(hex(encode(text[1:20]))) as hex, replace(text, 'the', '<>')[1:80] as swapped from documents")
+@add("fn_digests", "select doc_id, md5(text) as md5, md5(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as low, md5(lower(hex(encode(text)))) as hex, md5(replace(text, 'the', '<>')) as swapped from documents")
 def _(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.md5("text").alias("md5"), F.md5(text.ascii_lower(t)).alias("low"), text.hex_string(F.encode(F.substring(t, 1, 20), "UTF-8")).alias("hex"), F.substring(text.replace_all(t, "the", "<>"), 1, 80).alias("swapped"))
+    return table(spark, d, "documents").select("doc_id", F.md5("text").alias("md5"), F.md5(text.ascii_lower(t)).alias("low"), F.md5(text.hex_string(F.encode(t, "UTF-8"))).alias("hex"), F.md5(text.replace_all(t, "the", "<>")).alias("swapped"))
 
 
 @add("fn_base64", "select c_custkey, rtrim(translate(base64(encode(c_name)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/', '+/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz'), '=') as b, c_name as back from customer")
@@ -591,9 +590,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return robots.match_rules(p, uri.part(F.col("url"), "path"), table_of, ["k"]).select("page_id", "url", "allowed")
 
 
-@add("fn_xml_escape", "select doc_id, replace(replace(replace(text[1:200], '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as x from documents")
+@add("fn_xml_escape", "select doc_id, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) as x from documents")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.xml_escape(F.substring("text", 1, 200)).alias("x"))
+    return table(spark, d, "documents").select("doc_id", F.md5(text.xml_escape(F.col("text"))).alias("x"))
 
 
 @add("fn_lines", "select doc_id, len(string_split(text, chr(10))) as n from documents")
@@ -613,9 +612,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", hashing.shift_add_hash(n).alias("shift_add"), hashing.super_fast_column(n).alias("fast"), hashing.adler_column(n).alias("adler"))
 
 
-@add("fn_bits", "select p_partkey, bit_count(p_partkey) as n from part")
+@add("fn_bits", "select p_partkey, bit_count(p_partkey) as n, p_partkey | 8 as put, xor(p_partkey, 4) as flipped, p_partkey // 2 % 2 = 1 as tested from part")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", F.bit_count("p_partkey").cast("int").alias("n"))
+    k = F.col("p_partkey")
+    return table(spark, d, "part").select("p_partkey", F.bit_count(k).cast("int").alias("n"), encode.bits_set(k, 3).alias("put"), encode.bits_flip(k, 2).alias("flipped"), encode.bits_test(k, 1).alias("tested"))
 
 
 @add("fn_config", "select c_custkey, c_mktsegment as segment, c_nationkey::varchar as nation from customer")
@@ -632,9 +632,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ev(spark, d).select("ts", F.concat(local, F.lit("Z")).alias("iso"))
 
 
-@add("time_parse", f"select ts, ts as back from ({EV})")
+@add("time_parse", f"select ts, ts as numbered, ts as iso, ts - 7200000000 as zoned, (ts // 1000000 - ts // 1000000 % 60) * 1000000 as minutes, null::bigint as none from ({EV})")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return ev(spark, d).select("ts", formats.parse_time_column(formats.time_text(F.col("ts"))).alias("back"))
+    # @n, ISO with microseconds, the same clock two hours east, ISO down to minutes, no time at all
+    t = F.timestamp_micros("ts")
+    iso = lambda form, zone: F.concat(F.date_format(F.to_utc_timestamp(t, F.current_timezone()), form), F.lit(zone))
+    forms = {"numbered": F.concat(F.lit("@"), F.col("ts").cast("string")), "iso": iso("yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "Z"), "zoned": iso("yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "+02:00"), "minutes": iso("yyyy-MM-dd'T'HH:mm:00", "Z"), "none": F.lit("soon")}
+    return ev(spark, d).select("ts", *(formats.parse_time_column(c).alias(n) for n, c in forms.items()))
 
 
 # sinks: SC33
@@ -643,108 +647,167 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return formats.as_tuples(ev(spark, d))
 
 
-@add("xml_text", f"select '<cell><r>' || \"row\" || '</r><c>' || \"column\" || '</c><t>@' || (ts % 10000)::varchar || '</t><v>' || value || '</v></cell>' as value from ({EV})")
+@add("xml_text", f"select '<cell><r>' || \"row\" || '</r><c>' || \"column\" || '</c><t>' || case when abs(ts) < 10000 then '@' || ts::varchar else strftime(make_timestamp(ts), '%Y-%m-%dT%H:%M:%S.%fZ') end || '</t><v>' || value || '</v></cell>' as value from (select * from ({EV}) union all select \"row\", \"column\", ts % 10000, value from ({EV}))")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return formats.as_xml(ev(spark, d).withColumn("ts", F.col("ts") % 10_000))
+    cells = ev(spark, d)
+    return formats.as_xml(cells.union(cells.withColumn("ts", F.col("ts") % 10_000)))
 
 
-# whole tables: what the queries of the same names without _whole show on a part
-_scan("pred_column_range_whole", od, OD, "'amt:' < column <= 'meta:priority'", "\"column\" > 'amt:' and \"column\" <= 'meta:priority'")
+# tables by URI, loaded, erased from, loaded again and scanned: SC4-SC17, M2-M10
+_TABLES = f"select {_CELLS} from ({OD}) where \"column\" <> 'meta:status' union all select \"row\", \"column\", ts, 'again' from ({OD}) where \"column\" = 'meta:status' and \"row\" >= '0000001000'"
 
 
-@add("pred_family_pruning_whole", f"select {_CELLS} from ({OD}) where split_part(\"column\", ':', 1) = 'amt'")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    cells = od(spark, d).withColumn("family", C.family(F.col("column")))
-    return parse("column ~= 'amt:'").apply(cells).select("row", "column", "ts", "value")
+def _worked(spark: SparkSession, d: str, uri: str) -> DataFrame:
+    t, cells = open_table(spark, uri), od(spark, d)
+    t.load(cells)
+    t.erase_where("column = 'meta:status'")
+    t.load(parse("column = 'meta:status' and row >= '0000001000'").apply(cells).withColumn("value", F.lit("again")))
+    return open_table(spark, uri).scan()
 
 
-@add("scan_families_whole", f"select {_CELLS} from ({OD}) where starts_with(\"column\", 'meta:')")
+def _tablets(spark: SparkSession, ends: list[str | None]) -> str:
+    """URI of a table T of local tablets."""
+    folder = shared_folder(spark, "meta")
+    meta = open_table(spark, f"local:{folder}/meta")
+    for i, end in enumerate(ends):
+        meta.set(MetaTable.key("T", end), "location", 0, f"local:{folder}/t{i}")
+    meta.sync()
+    return f"meta+local:{folder}/meta?name=T"
+
+
+add("table_local", _TABLES)(lambda spark, d: _worked(spark, d, f"local:{shared_folder(spark, 'local')}"))
+add("table_hash", _TABLES)(lambda spark, d: _worked(spark, d, "hash:" + "?".join(f"local:{shared_folder(spark, 'hash')}" for _ in range(3))))
+add("table_mux", _TABLES)(lambda spark, d: _worked(spark, d, f"mux:meta=local:{shared_folder(spark, 'mux')}&*=local:{shared_folder(spark, 'mux')}"))
+add("table_meta", _TABLES)(lambda spark, d: _worked(spark, d, _tablets(spark, ["0000000500", "0000002000", None])))
+
+
+@add("table_compacted", f"select {_CELLS} from ({OD})")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    groups = {n: od(spark, d).filter(C.family(F.col("column")) == n) for n in ("meta", "amt")}
-    p = parse("column ~= 'meta:'")
-    return reduce(DataFrame.union, [p.apply(groups[n]) for n in p.families()])
+    t, cells = LocalTable(spark, shared_folder(spark, "batches"), most=2), od(spark, d)
+    for k in range(5):  # in batches, which the table merges as they come
+        t.load(cells.filter(F.pmod(F.crc32("row"), F.lit(5)) == k))
+    if len(t._batches()) > 2:
+        raise ValueError("the table has too many batches")
+    return t.scan()
 
 
-@add("extrapolate_whole", f"""with recursive t as (select row_number() over (order by k) as i, n from (select "row"[6:9] as k, count(*) as n from ({EV}) group by 1)),
-f as (select 0 as i, 0::bigint as mean, 0::bigint as total union all
-select t.i, (least(f.i, 10) * f.mean + t.n) // (least(f.i, 10) + 1), f.total + t.n from f join t on t.i = f.i + 1)
-select total + mean * 7 as estimate from f where i = (select max(i) from f)""")
+@add("scan_index", f"select count(*) as writes, max(\"row\") as last, true as ordered from ({OD})")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    per = ev(spark, d).groupBy(F.substring("row", 6, 4).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    ordered = per.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "n"))), lambda x: x["n"]).alias("t"))
-    return ordered.select(A.extrapolate(F.col("t"), F.lit(7)).alias("estimate"))
+    t = LocalTable(spark, shared_folder(spark, "index"))
+    t.load(od(spark, d))
+    t.compact()
+    index, spans = t.scan_index(), t.scan_intervals(4)
+    ordered = [s.high for s in spans[:-1]] == [s.low for s in spans[1:]]
+    blocks = spark.createDataFrame(index, "file string, last string, bytes long, writes long")
+    return blocks.agg(F.sum("writes").alias("writes"), F.max("last").alias("last"), F.lit(ordered).alias("ordered"))
+
 
+_ROWS = f"select \"row\", sum({_BYTES})::bigint as n, count(*) as cells from ({OD}) group by 1"
 
-@add("merge_unique_whole", "select k, arg_min(name, src) as name, min(src)::int as input from (select c_nationkey as k, min(c_name) as name, 0 as src from customer group by 1 union all select s_nationkey, min(s_name), 1 from supplier group by 1) group by k")
+
+@add("split_tablets", f"with r as ({_ROWS}), s as (select *, sum(n) over (order by \"row\") as upto, sum(n) over () as total from r), m as (select min(\"row\") as split from s where upto * 2 >= total) select \"row\" <= split as low, sum(cells)::bigint as cells, max(\"row\") as last from r, m group by 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_name").alias("name"))
-    b = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_name").alias("name"))
-    return X.merge_unique([a, b], ["k"])
+    t = open_table(spark, _tablets(spark, [None]))
+    t.load(od(spark, d))
+    [at] = t.split_heavy(most=1 << 10)
+    sides = [ScanPredicate(row=IntervalSet([span])) for span, _ in t.tablets()]
+    both = reduce(DataFrame.union, [t.scan(p).select(F.lit(i == 0).alias("low"), "row") for i, p in enumerate(sides)])
+    return both.groupBy("low").agg(F.count(F.lit(1)).alias("cells"), F.max("row").alias("last"))
 
 
-@add("merge_runs_whole", "select status, min(o_orderkey) as lower, max(o_orderkey) as upper, count(*) as joined from (select *, sum(new) over (order by o_orderkey) as run from (select o_orderkey, o_orderstatus as status, case when o_orderstatus is not distinct from lag(o_orderstatus) over (order by o_orderkey) then 0 else 1 end as new from orders)) group by status, run")
+@add("tablet_log", f"select seq, \"row\", \"column\", ts, value from ({EVLOG}) where \"row\" > 'user-000020' and \"row\" <= 'user-000050'")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("lower"), F.col("o_orderkey").alias("upper"))
-    return R.merge_runs(o, ["status"], "upper").select("status", "lower", "upper", "joined")
+    tablets = spark.createDataFrame([(f"t{i}", s) for i, s in enumerate([*_SPLITS, None])], "tablet string, upper string")
+    return C.tablet_log(R.lookup_ranges(evlog(spark, d), "row", tablets), "t1")
 
 
-@add("pages_whole")
+@add("lookup_customers", "select o_orderkey, (select min(c_custkey) from customer where c_custkey % 3 = 0 and c_custkey >= o_custkey) as owner from orders")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return X.pages(ev(spark, d), 200, C.cell_size(), ["column", F.col("ts").desc()], ["row"]).select("row", "column", "ts", "page")
+    # as many tablets as a third of the customers, in buckets of a few
+    pad = lambda c: F.lpad(F.col(c).cast("string"), 10, "0")
+    tablets = table(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("owner"), pad("c_custkey").alias("upper"))
+    orders = table(spark, d, "orders").select("o_orderkey", pad("o_custkey").alias("key"))
+    return R.lookup_ranges(orders, "key", tablets, name="owner", fanout=16).select("o_orderkey", "owner")
+
+
+# records, workloads: SC26, SC27, SC36, SC37, P3, P6, P8, E4, O14
+def _order_records(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    return o.select(F.lit("ordr").alias("type"), (F.col("o_orderkey") % 3).cast("int").alias("version"), F.lit(0).alias("flags"), F.encode(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus"), "UTF-8").alias("data"))
+
 
+for _header, _gzip in (("vega", False), ("sirius", True)):
+    add(f"framed_{_header}", "select 'ordr' as type, (o_orderkey % 3)::int as version, o_orderkey::varchar || '|' || o_orderstatus as data from orders")(
+        lambda spark, d, h=_header, z=_gzip: records.unframed(records.framed(_order_records(spark, d), h, z), h).select("type", "version", F.decode("data", "UTF-8").alias("data"))
+    )
 
-@add("consecutive_intervals_whole", "select lag(c_name) over (order by c_name) as lower, c_name as upper from (select distinct c_name from customer)")
+
+@add("record_order", "select o_orderkey, row_number() over (order by o_orderkey % 7, o_orderkey) as place from orders")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return R.consecutive(table(spark, d, "customer").select("c_name").distinct(), "c_name")
+    kinds = records.Records()
+    kinds.register("ordr", 1, records.RecordKind(order=lambda raw: int(raw).__mod__(7).to_bytes(1, "big") + int(raw).to_bytes(8, "big")))
+    o = table(spark, d, "orders").select("o_orderkey", F.lit("ordr").alias("type"), F.lit(1).alias("version"), F.encode(F.col("o_orderkey").cast("string"), "UTF-8").alias("data"))
+    return X.number(kinds.keyed(o).select("o_orderkey", "key"), ["key"], "place").select("o_orderkey", "place")
+
 
+@add("host_order", f"select page_id, row_number() over (order by list_aggregate(list_reverse(string_split(lower(regexp_extract(url, '{_URL}', 4)), '.')), 'string_agg', '.'), page_id) as place from pages")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "pages").select("page_id", text.host_key(uri.host(F.col("url"))).alias("key"))
+    return X.number(p, ["key", "page_id"], "place").select("page_id", "place")
 
-_DAYS_WHOLE = "select user_id % 50 as k, epoch_us(ts) as lo, epoch_us(ts) + (value * 1000000)::bigint * 600 as hi from events"
 
+@add("grid_cells", "with g as (select i // 100 as r, i % 100 as c, i from range(10000) t(i)) select translate(md5('grid-row|' || r::varchar)[1:10], '0123456789abcdef', 'abcdefghijklmnop') as \"row\", translate(md5('grid-column|' || c::varchar)[1:10], '0123456789abcdef', 'abcdefghijklmnop') as \"column\", 0::bigint as ts, 'v' || (i % 1000)::varchar as value from g")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return workloads.grid(spark, 10_000)
 
-def _spans_whole(spark: SparkSession, d: str) -> DataFrame:
-    from tessella.views import micros
 
-    e = table(spark, d, "events")
-    return e.select((F.col("user_id") % 50).alias("k"), micros("ts").alias("lo"), (micros("ts") + F.round(F.col("value") * 1_000_000).cast("long") * 600).alias("hi"))
+@add("reload", f"select {_CELLS} from ({EV}) where md5('reload|' || \"row\" || '|' || \"column\" || '|' || ts::varchar)[1:8] < '40000000'")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return workloads.reload(ev(spark, d), 0.25).select("row", "column", "ts", "value")
 
 
-@add("interval_union_whole", _ISLANDS.format(_DAYS_WHOLE))
+@add("random_predicates", f"select case instr('0123456789abcdef', h[9:9]) % 3 when 0 then 'row = ''' || \"row\" || '''' when 1 then 'column = ''' || \"column\" || '''' else 'column ~= ''' || split_part(\"column\", ':', 1) || ':''' end as predicate from (select *, md5('scan|' || \"row\" || '|' || \"column\" || '|' || ts::varchar) as h from ({EV})) order by h, \"row\", \"column\" limit 20")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return R.coalesce_intervals(_spans_whole(spark, d), ["k"])
+    return workloads.random_predicates(ev(spark, d), 20)
 
 
-@add("interval_intersect_whole", f"""with u as ({_ISLANDS.format(_DAYS_WHOLE)}) select a.k, greatest(a.lo, b.lo) as lo, least(a.hi, b.hi) as hi from (select k % 25 as k, lo, hi from u where k < 25) a join (select k % 25 as k, lo, hi from u where k >= 25) b on a.k = b.k and a.lo < b.hi and b.lo < a.hi""")
+@add("replay", f"select 'ev' as \"table\", 'row = ''user-' || lpad(n_nationkey::varchar, 6, '0') || '''' as predicate, 1::bigint as runs, (select count(*) from ({EV}) where \"row\" = 'user-' || lpad(n_nationkey::varchar, 6, '0')) as cells from nation")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    u = R.coalesce_intervals(_spans_whole(spark, d), ["k"])
-    part = lambda f: u.filter(f).select((F.col("k") % 25).alias("k"), "lo", "hi")
-    return R.intersect_intervals(part(F.col("k") < 25), part(F.col("k") >= 25), ["k"])
+    row = F.concat(F.lit("user-"), F.lpad(F.col("n_nationkey").cast("string"), 6, "0"))
+    log = table(spark, d, "nation").select(F.concat(F.lit("Scan 1 running: table=ev pred=(row = '"), row, F.lit("')")).alias("value"))
+    return workloads.replay(spark, workloads.scan_jobs(log), lambda _, p: parse(p).apply(ev(spark, d)))
 
 
-_EDGES_WHOLE = "select l_suppkey as tablet, l_partkey as fragment, sum(l_quantity)::bigint as bytes, sum(case when l_returnflag = 'R' then 0 else l_quantity end)::bigint as used from lineitem group by 1, 2"
+@add("cogroup_keys", "select k, sum(c)::bigint as customers, sum(s)::bigint as suppliers from (select c_custkey % 7 as k, 1 as c, 0 as s from customer union all select s_nationkey % 7, 0, 1 from supplier) group by 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c, s = table(spark, d, "customer").select("c_custkey"), table(spark, d, "supplier").select("s_nationkey")
+    g = X.cogroup([c, s], ["k"], [[F.col("c_custkey") % 7], [F.col("s_nationkey") % 7]])
+    return g.select("k", F.size("i0").cast("long").alias("customers"), F.size("i1").cast("long").alias("suppliers"))
 
 
-def _edges_whole(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
-    return li.groupBy(F.col("l_suppkey").alias("tablet"), F.col("l_partkey").alias("fragment")).agg(F.sum("l_quantity").cast("long").alias("bytes"), F.sum(F.when(F.col("l_returnflag") == "R", 0).otherwise(F.col("l_quantity"))).cast("long").alias("used"))
+@add("uniq_batches", "select user_id, max(event_id) as event_id, sum(round(value * 100)::bigint)::bigint as cents from events group by 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    return X.uniq_batches(e, ["user_id"], "event_id", lambda g: g.groupby("user_id", as_index=False).agg({"event_id": "max", "cents": "sum"}), 10)
 
 
-@add("fragment_weights_whole", f"with e as ({_EDGES_WHOLE}), c as (select tablet, count(*) as chain from e group by 1) select fragment, sum((chain - 1) * (bytes - used))::bigint as weight, count(*) as tablets from e join c using (tablet) group by fragment")
+@add("fn_utf8", "select p_partkey, lower(hex(encode(chr((p_partkey * 977 % 50000 + 1)::int)))) as hex from part")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return R.fragment_weights(_edges_whole(spark, d))
+    code = F.pmod(F.col("p_partkey") * 977, F.lit(50_000)) + 1
+    return table(spark, d, "part").select("p_partkey", F.lower(F.hex(encode.encode_utf8(code))).alias("hex"))
 
 
-@add("fragmentation_whole", f"select count(*) as tablets, avg(chain) as mean_chain, max(chain) as longest_chain, round((1 - sum(used) / sum(bytes))::double, 9) as wasted from (select tablet, count(*) as chain, sum(bytes) as bytes, sum(used) as used from ({_EDGES_WHOLE}) group by 1)")
+@add("fn_mem_dump", "select c_custkey, rtrim(regexp_replace(lower(hex(encode(c_name))), '(.{8})', '\\1 ', 'g')) as dump from customer")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return R.fragmentation(_edges_whole(spark, d)).withColumn("wasted", F.round("wasted", 9))
+    return table(spark, d, "customer").select("c_custkey", encode.mem_dump(F.encode("c_name", "UTF-8")).alias("dump"))
 
 
-# whole texts, as digests
-@add("fn_digests_whole", "select doc_id, md5(lower(hex(encode(text)))) as hex, md5(replace(text, 'the', '<>')) as swapped from documents")
+@add("fn_xml_quoted", "select doc_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')) as x from documents")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.md5(text.hex_string(F.encode(t, "UTF-8"))).alias("hex"), F.md5(text.replace_all(t, "the", "<>")).alias("swapped"))
+    return table(spark, d, "documents").select("doc_id", F.md5(text.xml_escape_quoted(F.col("text"))).alias("x"))
 
 
-@add("fn_xml_escape_whole", "select doc_id, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) as x from documents")
+@add("fn_raw_times", f"select ts, ts // 1000 * 1000 as from_millis, ts // 7 as from_nanos from ({EV})")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.md5(text.xml_escape(F.col("text"))).alias("x"))
+    t = F.col("ts")
+    return ev(spark, d).select("ts", encode.from_millis(F.floor(t / 1000)).alias("from_millis"), encode.from_nanos(F.floor(t / 7) * 1000 + t % 1000).alias("from_nanos"))
