@@ -19,8 +19,8 @@ from .common import cut, fresh, map_column, small_batches
 
 #: Hash buckets of the trigrams; with the number of languages, this bounds the model.
 BUCKETS = 1 << 16
-#: Languages that a model may have.
-MOST_LANGUAGES = 1000
+#: Languages that a model may have: its table has 2^16 rows of as many numbers, and a scored row as many.
+MOST_LANGUAGES = 200
 #: Trigrams that a text's evidence counts for at most: neighbours are not independent.
 TEXT_WEIGHT = 50.0
 #: Probability that a declared language is the true one.

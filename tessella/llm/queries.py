@@ -102,4 +102,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Vectors that take part, as doubles.
+_VECTORS = "select vec_id, label, e from (select vec_id, label, embedding::double[] as e from embeddings) where len(e) > 0 and len(list_filter(e, lambda x: x is not null and isfinite(x))) = len(e) and list_dot_product(e, e) > 0"
+
+ORACLE_SQL: dict[str, str] = {
+    # all pairs of a label, and the nodes that links reach
+    "op4_vector_dedup": f"""with recursive v as ({_VECTORS}), links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+and list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
+reached as (select vec_id as node, vec_id as other from embeddings union select node, b from reached join links on a = other)
+select vec_id, (select count(*) from links where a = vec_id) as n_links, component_id, vec_id = component_id as kept
+from (select node as vec_id, min(other) as component_id from reached group by node)""",
+    # all pairs: what the curves find where a table has no more rows than the least window
+    "op5_nearest": f"""with v as ({_VECTORS}) select query_id, rank::int as rank, vec_id, score from (select q.vec_id as query_id, c.vec_id as vec_id, score, row_number() over (partition by q.vec_id order by score, c.vec_id) as rank
+from (select q, c, sqrt(list_sum(list_transform(q.e, lambda x, i: (x - c.e[i]) * (x - c.e[i])))) as score from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id)) where rank <= 10""",
+    # lines within an edit are equal without one character of each, at one place, or one is the other without a character
+    "op10_line_dedup": """with texts as (select doc_id, string_split(text, chr(10)) as all_lines from documents where text is not null),
+occurrences as (select doc_id, unnest(all_lines) as line, generate_subscripts(all_lines, 1) as n from texts),
+firsts as (select line, min({'d': doc_id, 'n': n}) as f from occurrences where line <> '' group by line),
+shorter as (select line, f, i, substring(line, 1, i - 1) || substring(line, i + 1) as rest from (select line, f, unnest(range(1, length(line) + 1)) as i from firsts where length(line) > 1)),
+gone as (select line from (select line, f, min(f) over (partition by i, rest) as least from shorter) where f > least
+union select s.line from shorter s join firsts o on s.rest = o.line where o.f < s.f union select o.line from shorter s join firsts o on s.rest = o.line where s.f < o.f),
+marked as (select o.doc_id, o.n, o.line, o.line = '' or (g.line is null and f.f = {'d': o.doc_id, 'n': o.n}) as stays from occurrences o left join firsts f on o.line = f.line left join gone g on o.line = g.line),
+built as (select doc_id, coalesce(string_agg(line, chr(10) order by n) filter (stays), '') as text, count(*) filter (not stays) as n_dropped from marked group by doc_id)
+select d.doc_id, b.text, coalesce(b.n_dropped, 0)::int as n_dropped from documents d left join built b on d.doc_id = b.doc_id""",
+}

@@ -149,3 +149,35 @@ def simhash_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ta
     named = reps.join(comp, reps["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     named = cut(spark, named, f"{tag}-named")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def simhash_kept(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tag: str = "kept") -> DataFrame:
+    """The rows of `df` of which one of each group of links stays: the smallest id, nulls last, then the text's least hash.
+
+    Rows are known by id and text, so those without an id, or with one that repeats, are compared like any
+    other; of rows that share both, one stays.  Null and wordless texts are one group.  Columns and their
+    order are those of the input; an empty table gives an empty one.
+    """
+    spark = df.sparkSession
+    src = df.select(F.col(doc_id).alias("d"), F.xxhash64(F.col(text)).alias("x"), F.col(text).alias("text"))
+    fps = cut(spark, fingerprints(src, carry=["d", "x"]), f"{tag}-fps")
+    # fingerprints are the nodes, named by themselves
+    reps = cut(spark, fps.select("fp", F.col("fp").alias("rep")).distinct(), f"{tag}-reps")
+    comp = components(spark, near_links(spark, reps, tag), tag)
+    group = fps.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").select("d", "x", F.coalesce("component", "fp").alias("c"))
+    group = cut(spark, group.groupBy("c", "d", "x").agg(F.count(F.lit(1)).alias("n")), f"{tag}-groups")
+    first = F.struct(F.col("d").isNull().alias("none"), "d", "x")
+    best = group.groupBy("c").agg(F.min(first).alias("b")).select(F.col("c").alias("bc"), "b")
+    judged = group.join(best, F.col("c") == F.col("bc")).select("d", "x", "n", (F.col("d").eqNullSafe(F.col("b.d")) & (F.col("x") == F.col("b.x"))).alias("stays"))
+    judged = cut(spark, judged, f"{tag}-judged")
+
+    def among(keys: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+        keys = keys.select(F.col("d").alias("__d"), F.col("x").alias("__x"))
+        return rows.join(keys, F.col(doc_id).eqNullSafe(F.col("__d")) & (F.xxhash64(F.col(text)) == F.col("__x")), how)
+
+    kept = among(judged.filter("not stays"), "left_anti", df)
+    repeated = judged.filter("stays and n > 1")
+    if repeated.take(1):  # rows that share id and text are seldom: only these are shuffled
+        once = among(repeated, "left_semi", kept).dropDuplicates([doc_id, text])
+        kept = among(repeated, "left_anti", kept).unionByName(once)
+    return kept
