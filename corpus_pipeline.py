@@ -28,17 +28,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of SimHash links the document with the smallest id stays; rows without an id pass.
-
-    Where rows repeat an id, one of them stays.
-    """
-    groups = simhash.simhash_groups(docs)
-    drops = cut(spark, groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "pipeline-gone")
-    repeated = groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").take(1)
-    kept = docs.join(drops, docs["doc_id"] == drops["__gone"], "left_anti")
-    if repeated:
-        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.filter("doc_id is null"))
-    return kept
+    """Of each group of SimHash links one document stays, that with the smallest id; rows without an id come last."""
+    return simhash.simhash_kept(docs)
 
 
 def weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
