@@ -8,16 +8,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .streams import number, previous, running_max_before, running_sum, runs
+
 
 def coalesce_intervals(df: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """Half-open intervals (lo, hi) that overlap or touch as one each, within each group; empty ones go.
 
     An island starts where `lo` is above every `hi` before it.
     """
-    w = Window.partitionBy(*within).orderBy("lo", "hi")
-    reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.filter("lo < hi").withColumn("__new", F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0))
-    named = marked.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = running_max_before(df.filter("lo < hi"), F.col("hi"), ["lo", "hi"], "__reach", within)
+    marked = marked.withColumn("__new", F.when(F.col("__reach").isNull() | (F.col("lo") > F.col("__reach")), 1).otherwise(0))
+    # rows with one start and end lie in one island, and only the first of them can begin it
+    ends = marked.groupBy(*within, "lo", "hi").agg(F.max("__new").alias("__new")).withColumn("__at", F.struct("lo", "hi"))
+    named = running_sum(ends, "__new", "__at", "__island", within)
     return named.groupBy(*within, "__island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select(*within, "lo", "hi")
 
 
@@ -48,8 +51,6 @@ def lookup_ranges(df: DataFrame, value: str, tablets: DataFrame, name: str = "ta
     which the planner broadcasts or shuffles by its size, brings the bucket's bounds, and a second search the owner.
     Of tablets with one bound the least name counts; a null value has no owner.
     """
-    from .streams import number
-
     ends = tablets.filter(F.col(upper).isNotNull()).groupBy(F.col(upper).alias("__u")).agg(F.min(name).alias("__n"))
     placed = number(ends, ["__u"], "__i").withColumn("__b", F.floor((F.col("__i") - 1) / fanout).cast("long"))
     own = placed.groupBy("__b").agg(F.array_sort(F.collect_list(F.struct("__u", "__n"))).alias("__own"))
@@ -65,11 +66,16 @@ def lookup_ranges(df: DataFrame, value: str, tablets: DataFrame, name: str = "ta
 
 def consecutive(df: DataFrame, row: str = "row", within: Sequence[str] = ()) -> DataFrame:
     """Last rows of tablets as intervals (lower, upper]: the lower end is the row before, null at the start."""
-    from .streams import previous
-
     return previous(df.select(*within, row), [row], row, within).select(*within, F.col("__prev")[row].alias("lower"), F.col(row).alias("upper"))
 
 
+def _with_total(df: DataFrame, value: str, within: Sequence[str]) -> DataFrame:
+    """Append `__all`, the sum of a column over each group, or over all rows without groups."""
+    if within:
+        return df.withColumn("__all", F.sum(value).over(Window.partitionBy(*within)))
+    return df.crossJoin(F.broadcast(df.agg(F.sum(value).alias("__all"))))  # one row
+
+
 def split_points(df: DataFrame, parts: int, row: str = "row", weight: Column | None = None, within: Sequence[str] = ()) -> DataFrame:
     """Rows that cut each group into `parts` of about equal weight: (part, row), the rows where the weight so far passes a boundary.
 
@@ -77,9 +83,7 @@ def split_points(df: DataFrame, parts: int, row: str = "row", weight: Column | N
     """
     w = F.lit(1) if weight is None else weight
     rows = df.groupBy(*within, row).agg(F.sum(w).alias("__w"))
-    so_far = F.sum("__w").over(Window.partitionBy(*within).orderBy(row).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("__w").over(Window.partitionBy(*within))
-    at = rows.withColumn("__at", so_far).withColumn("__all", total)
+    at = _with_total(running_sum(rows, "__w", row, "__at", within), "__w", within)
     edge = lambda x: F.floor(x * parts / F.col("__all"))
     passed = at.withColumn("part", edge(F.col("__at")).cast("int")).withColumn("__before", edge(F.col("__at") - F.col("__w")).cast("int"))
     return passed.filter((F.col("part") > F.col("__before")) & (F.col("part") < parts)).select(*within, "part", row)
@@ -87,8 +91,7 @@ def split_points(df: DataFrame, parts: int, row: str = "row", weight: Column | N
 
 def median_row(sizes: DataFrame, row: str = "row", size: str = "bytes", within: Sequence[str] = ()) -> DataFrame:
     """The first row at which the sizes so far reach half of them all."""
-    w = Window.partitionBy(*within).orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
-    marked = sizes.withColumn("__at", F.sum(size).over(w)).withColumn("__all", F.sum(size).over(Window.partitionBy(*within)))
+    marked = _with_total(running_sum(sizes, size, row, "__at", within), size, within)
     return marked.filter(F.col("__at") * 2 >= F.col("__all")).groupBy(*within).agg(F.min(row).alias("split_row"))
 
 
@@ -113,8 +116,6 @@ def repair_tablets(tablets: DataFrame, table: str = "table") -> DataFrame:
 
 def merge_runs(rows: DataFrame, value: Sequence[str], order: str, within: Sequence[str] = ()) -> DataFrame:
     """Runs of adjacent records with equal values as one: the first lower bound and the last key of each."""
-    from .streams import runs
-
     named = runs(rows, value, order, within)
     return named.groupBy(*within, "run", *value).agg(F.min_by("lower", order).alias("lower"), F.max(order).alias(order), F.count(F.lit(1)).alias("joined")).drop("run")
 
@@ -191,16 +192,15 @@ def truncate_intervals(df: DataFrame, length: int | None = None, delimiter: str
     """
     cut = (lambda c: F.substring(c, 1, length)) if length is not None else (lambda c: F.substring_index(c, delimiter, fields))
     short = df.select(*within, cut(F.col("lower")).alias("lower"), cut(F.col("upper")).alias("upper")).filter("lower is null or upper is null or lower < upper")
-    w = Window.partitionBy(*within).orderBy(F.col("lower").asc_nulls_first(), F.col("upper").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    reach, open_end = F.max("upper").over(w), F.max(F.col("upper").isNull()).over(w)
-    marked = short.withColumn("__reach", reach).withColumn("__open", F.coalesce(open_end, F.lit(False)))
+    order = [F.col("lower").asc_nulls_first(), F.col("upper").asc_nulls_last()]
+    reach = F.struct(F.col("upper").isNull().alias("open"), "upper")
+    marked = running_max_before(short, reach, order, "__before", within)
+    marked = marked.select(*short.columns, F.col("__before.upper").alias("__reach"), F.coalesce("__before.open", F.lit(False)).alias("__open"))
     return marked.filter("not __open and (__reach is null or upper is null or upper > __reach)").drop("__reach", "__open")
 
 
 def erase(cells: DataFrame, start: int) -> DataFrame:
     """Writes that erase the given cells, numbered from `start` in key order."""
-    from .streams import number
-
     keys = number(cells.select("row", "column", "ts").distinct(), ["row", "column", "ts"], "seq")
     return keys.select((F.col("seq") + (start - 1)).alias("seq"), "row", "column", "ts", F.lit(None).cast("string").alias("value"))
 

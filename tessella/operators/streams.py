@@ -87,6 +87,18 @@ def running_sum(df: DataFrame, value: str, order: str, out: str, within: Sequenc
     return local.join(F.broadcast(offsets), "__part").withColumn(out, F.col("__sum") + F.col("__before")).drop("__part", "__sum", "__before")
 
 
+def running_max_before(df: DataFrame, value: Column, order: Sequence[str | Column], out: str, within: Sequence[str] = ()) -> DataFrame:
+    """Append the maximum of a value over the rows before, null for the first; without groups over range partitions."""
+    back = lambda *by: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    if within:
+        return df.withColumn(out, F.max(value).over(back(*within)))
+    parts = spread(df.withColumn("__v", value), order)
+    tops = parts.groupBy("__part").agg(F.max("__v").alias("__top"))
+    tops = tops.select("__part", F.max("__top").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__top"))
+    local = parts.withColumn(out, F.max("__v").over(back("__part"))).join(F.broadcast(tops), "__part")  # a row for each partition
+    return local.withColumn(out, F.greatest(out, "__top")).drop("__part", "__v", "__top")
+
+
 def uniq(df: DataFrame, key: Sequence[str], ordinal: str, keep: str = "first") -> DataFrame:
     """One row of each key: the first or last by ordinal.  A struct's minimum, so it is summed up before the shuffle."""
     rest = [c for c in df.columns if c not in (*key, ordinal)]

@@ -440,9 +440,21 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @add("truncate_intervals", "select lower, upper from (select *, max(upper) over (order by lower, upper rows between unbounded preceding and 1 preceding) as reach from (select c_name[1:15] as lower, (lead(c_name) over (order by c_name))[1:15] as upper from customer) where lower < upper) where reach is null or upper > reach")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").select("c_name", F.floor(F.col("c_custkey") / (1 << 40)).alias("g"))
-    pairs = c.select("g", F.col("c_name").alias("lower"), F.lead("c_name").over(Window.partitionBy("g").orderBy("c_name")).alias("upper")).filter("upper is not null")
-    return R.truncate_intervals(pairs, length=15, within=["g"]).select("lower", "upper")
+    pairs = R.consecutive(table(spark, d, "customer").select("c_name"), "c_name").filter("lower is not null")
+    return R.truncate_intervals(pairs, length=15).select("lower", "upper")
+
+
+@add("split_points_all", f"with r as (select \"row\", count(*) as n from ({EV}) group by 1), s as (select *, sum(n) over (order by \"row\") as upto, sum(n) over () as total from r) select (upto * 5 // total)::int as part, \"row\" from s where upto * 5 // total > (upto - n) * 5 // total and upto < total")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return R.split_points(ev(spark, d), 5)
+
+
+@add("interval_union_all", "select min(lo) as lo, max(hi) as hi from (select *, sum(new) over (order by lo, hi) as g from (select *, case when lo <= max(hi) over (order by lo, hi rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from (select epoch_us(ts) as lo, epoch_us(ts) + 60000000 as hi from events))) group by g")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    from tessella.views import micros
+
+    e = table(spark, d, "events").select(micros("ts").alias("lo"), (micros("ts") + 60_000_000).alias("hi"))
+    return R.coalesce_intervals(e)
 
 
 # tablets and fragments: A6-A8, M8, SC9, SC14, SC16, SC17
