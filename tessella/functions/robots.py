@@ -55,11 +55,11 @@ def allowed(text: str, agent: str, path: str) -> bool:
 def match_rules(pages: DataFrame, path: Column, rule_table: DataFrame, on: list[str]) -> DataFrame:
     """Append `allowed` by rules (prefix, ok) kept as data, joined on a key such as the host; without rules all is allowed.
 
-    A page's rules are reduced by max_by of (length, banned) where they meet, so one row a page is left.
+    A key's rules, as few as a robots file has, go to its pages as one array, longest first and bans before the
+    rest; the first that is a prefix decides.  Pages are rows of their own, alike or not, and none is grouped.
     """
-    p = pages.withColumn("__path", path)
-    hit = F.expr("startswith(__path, prefix)")
-    joined = p.join(rule_table, on, "left")
-    keys = [c for c in pages.columns]
-    best = F.max_by(F.when(hit, F.col("ok")), F.when(hit, F.struct(F.length("prefix"), (~F.col("ok")).alias("banned"))))
-    return joined.groupBy(*keys).agg(F.coalesce(best, F.lit(True)).alias("allowed"))
+    one = F.struct((-F.length("prefix")).alias("back"), F.col("ok"), F.col("prefix"))
+    own = rule_table.groupBy(*on).agg(F.array_sort(F.collect_list(one)).alias("__rules"))
+    joined = pages.withColumn("__path", path).join(own, on, "left")
+    hit = F.try_element_at(F.filter("__rules", lambda r: F.startswith("__path", r["prefix"])), F.lit(1))
+    return joined.select(*pages.columns, F.coalesce(hit["ok"], F.lit(True)).alias("allowed"))
