@@ -23,6 +23,8 @@ BUCKETS = 1 << 16
 MOST_LANGUAGES = 200
 #: Trigrams that a text's evidence counts for at most: neighbours are not independent.
 TEXT_WEIGHT = 50.0
+#: Probability that a trigram is none of the language's own, but any of all alike.
+FOREIGN = 0.1
 #: Probability that a declared language is the true one.
 TRUST = 0.9
 #: Pseudo-counts with which each level of the address leans on the one above.
@@ -51,7 +53,9 @@ class Model:
     def __init__(self, languages: list[str], counts: np.ndarray, alpha: float = 0.5) -> None:
         self.languages = languages
         p = counts.astype(np.float64) + alpha
-        self.table = np.log(p / p.sum(axis=0, keepdims=True)).astype(np.float32)
+        p /= p.sum(axis=0, keepdims=True)
+        # what training lacks weighs the same, however much there was to learn from
+        self.table = np.log((1 - FOREIGN) * p + FOREIGN / BUCKETS).astype(np.float32)
 
     def score(self, text: str | None) -> tuple[np.ndarray, int, float]:
         """Weighted log-likelihoods, number of trigrams, best mean log-likelihood of a trigram."""

@@ -45,7 +45,7 @@ def test_language_id_against_brute_force(spark) -> None:  # noqa: ANN001
     evidence, best, lls = [], [], []
     for _, t, _, said in rows:
         g = grams_of(t)
-        mean = [sum(math.log((counts[x][k] + 0.5) / size[x]) for k in g) / max(1, len(g)) for x in langs]
+        mean = [sum(math.log(0.9 * (counts[x][k] + 0.5) / size[x] + 0.1 / 65536) for k in g) / max(1, len(g)) for x in langs]
         ll = [m * min(len(g), 50) for m in mean]
         say = (said or "").lower()
         evidence.append([v + (math.log(0.9 if x == say else 0.1 / (len(langs) - 1)) if say in langs else 0.0) for x, v in zip(langs, ll, strict=True)])
@@ -73,6 +73,17 @@ def test_language_id_against_brute_force(spark) -> None:  # noqa: ANN001
         assert r["lang_accepted"] == (b is not None and max(post) >= 0.5 and b > math.log(1 / 65536))
 
 
+def test_junk_is_rejected_whatever_the_size(spark) -> None:  # noqa: ANN001
+    r = random.Random(5)
+    junk = [" ".join("".join(r.choice("qxzjkwvy") for _ in range(9)) for _ in range(40)) for _ in range(5)] + ["1234 5678 !!", ""]
+    for sf in ("sf0.001", "sf0.01"):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        model = langid.train(docs)
+        rows = langid.identify(docs.select("doc_id", "text").union(docs_of(spark, junk).selectExpr("-1 - doc_id", "text")), model, keep=["doc_id"]).collect()
+        assert not any(x["lang_accepted"] for x in rows if x["doc_id"] < 0)
+        assert sum(x["lang_accepted"] for x in rows if x["doc_id"] >= 0) >= 0.97 * (len(rows) - len(junk))
+
+
 def test_language_id_names_clash(spark) -> None:  # noqa: ANN001
     df = docs_of(spark, ["a b c"])
     with pytest.raises(ValueError, match="already"):
