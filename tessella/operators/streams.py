@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .durable import materialise
@@ -241,6 +241,6 @@ def tee(df: DataFrame, *writers: Callable[[DataFrame], None]) -> None:
         held.unpersist()
 
 
-def observe(df: DataFrame, name: str, **metrics: Column) -> DataFrame:
-    """Pass rows on and let Spark report metrics of them under a name."""
+def observe(df: DataFrame, name: str | Observation, **metrics: Column) -> DataFrame:
+    """Pass rows on and let Spark report metrics of them under a name, or to an observation that can be asked for them."""
     return df.observe(name, *(c.alias(n) for n, c in metrics.items()))

@@ -19,6 +19,7 @@ from tessella.plans.intervals import Interval, IntervalSet
 from tessella.plans.predicate import ScanPredicate, parse
 from tessella.sources import formats, records
 from tessella.sources.table import LocalTable, MetaTable, open_table
+from tessella.streaming.ingest import ingest
 from tessella.views import EV, EVLOG, OD, ev, evlog, od, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -823,3 +824,79 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("ts")
     return ev(spark, d).select("ts", encode.from_millis(F.floor(t / 1000)).alias("from_millis"), encode.from_nanos(F.floor(t / 7) * 1000 + t % 1000).alias("from_nanos"))
+
+# files out and in again, checks, copies, metrics, streams: SC28-SC33, SC36, X6, X7, X10, A8, PR24, IV7, §2.15
+@add("load_tuples", EV)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_folder(spark, "tuples")
+    formats.as_tuples(ev(spark, d)).write.option("compression", "gzip").text(path)
+    return formats.read_tuple_lines(spark, path)
+
+
+@add("load_xml", EV)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_folder(spark, "xml")
+    formats.as_xml(ev(spark, d)).write.text(path)
+    return formats.read_cell_xml_lines(spark, path)
+
+
+@add("load_documents", "select c_name as \"row\", 'doc:' || k as \"column\", 0::bigint as ts, case k when 'segment' then c_mktsegment else c_nationkey::varchar end as value from customer, (values ('segment'), ('nation')) as names(k)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_folder(spark, "documents")
+    element = lambda n, v: F.concat(F.lit(f'<element name="{n}"><value>'), text.xml_escape(v.cast("string")), F.lit("</value></element>"))
+    c = table(spark, d, "customer")
+    docs = c.select((F.col("c_custkey") % 8).alias("g"), F.concat(F.lit("<document>"), element("sbid", F.col("c_name")), element("segment", F.col("c_mktsegment")), element("nation", F.col("c_nationkey")), F.lit("</document>")).alias("x"))
+    files = docs.groupBy("g").agg(F.concat(F.lit("<documents>"), F.array_join(F.collect_list("x"), ""), F.lit("</documents>")).alias("value"))
+    files.repartition("g").write.partitionBy("g").text(path)
+    return formats.read_document_xml(spark, path)
+
+
+@add("split_stream", "select o_orderkey, o_orderstatus as part from orders")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_folder(spark, "split")
+    formats.split_by(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), F.col("o_orderstatus"), path, rows=1000)
+    return spark.read.parquet(path).select("o_orderkey", "part")
+
+
+@add("check_stream", "select o_orderkey, o_totalprice from orders where o_totalprice >= 0")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return formats.checked(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), F.col("o_totalprice") >= 0, "a price below zero")
+
+
+@add("tee", "select * from (select n_nationkey, 0 as copy from nation union all select n_nationkey, 1 from nation)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    paths = [shared_folder(spark, "tee") for _ in range(2)]
+    X.tee(table(spark, d, "nation").select("n_nationkey"), *(lambda x, p=p: x.write.parquet(p) for p in paths))
+    return reduce(DataFrame.union, [spark.read.parquet(p).withColumn("copy", F.lit(i)) for i, p in enumerate(paths)])
+
+
+@add("observe", f"select count(*) as cells, sum({_BYTES})::bigint as bytes from ({EV})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Observation
+
+    seen = Observation("scan")
+    X.observe(ev(spark, d), seen, cells=F.count(F.lit(1)), bytes=F.sum(C.cell_size())).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["cells"], seen.get["bytes"])], "cells long, bytes long")
+
+
+@add("outside_interval", f"select {_CELLS} from ({EV}) where not (\"row\" >= 'user-000020' and \"row\" < 'user-000050')")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    sides = [x for x in Interval.of("user-000020", "user-000050").complements() if x is not None]
+    return ScanPredicate(row=IntervalSet(sides)).apply(ev(spark, d))
+
+
+@add("scan_by_intervals", f"select {_CELLS} from ({OD}) where \"column\" = 'meta:status'")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    t = LocalTable(spark, shared_folder(spark, "parts"))
+    t.load(od(spark, d))
+    # each part's predicate is the scan's, clipped to its rows: together they are the whole scan, once
+    p = parse("column = 'meta:status'")
+    return reduce(DataFrame.union, [t.scan(p.clip_rows(x)) for x in t.scan_intervals(3)])
+
+
+@add("ingest_stream", f"select * from ({_LAST}) where value is not null")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    folder, kind = shared_folder(spark, "ingest"), "seq long, row string, column string, ts long, value string"
+    evlog(spark, d).write.parquet(f"{folder}/in")
+    ingest(spark.readStream.schema(kind).parquet(f"{folder}/in"), f"{folder}/log", f"{folder}/state", "seq").awaitTermination()
+    return C.resolve(spark.read.parquet(f"{folder}/log"))

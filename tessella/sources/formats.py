@@ -13,6 +13,8 @@ from tessella.functions.text import unescape, xml_escape
 from tessella.operators.cells import CELL, cell_order
 from tessella.plans.times import match_time
 
+#: The elements of a <cell>.
+CELL_XML = "r string, c string, t string, v string"
 _STRING = r"\s*(\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*')\s*"
 
 
@@ -81,8 +83,16 @@ def parse_time_column(c: Column) -> Column:
 
 def read_cell_xml(spark: SparkSession, path: str) -> DataFrame:
     """<cell><r/><c/><t/><v/></cell>; cells without a row, a column or a time are left out."""
-    schema = "r string, c string, t string, v string"
-    cells = spark.read.schema(schema).xml(path, rowTag="cell")
+    return _xml_cells(spark.read.schema(CELL_XML).xml(path, rowTag="cell"))
+
+
+def read_cell_xml_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Files with one <cell> in each line and no root, as they are written here: split, and parsed in parallel."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return _xml_cells(lines.select(F.from_xml("value", CELL_XML).alias("x")).select("x.*"))
+
+
+def _xml_cells(cells: DataFrame) -> DataFrame:
     good = cells.filter("r <> '' and c <> ''").withColumn("ts", parse_time_column(F.col("t"))).filter("ts is not null")
     return good.select(F.col("r").alias("row"), F.col("c").alias("column"), "ts", F.coalesce("v", F.lit("")).alias("value"))
 
