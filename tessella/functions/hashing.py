@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -68,12 +68,50 @@ def shift_add_hash(c: Column) -> Column:
     return _column(lambda raw: str(shift_add_text(raw)), "string", c)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _byte(raw: Column, i: Column) -> Column:
+    """Byte i, from 0, as a number."""
+    return F.conv(F.hex(F.substring(raw, i + 1, F.lit(1))), 16, 10).cast("long")
+
+
 def super_fast_column(c: Column) -> Column:
-    return _column(super_fast_hash, "long", c)
+    """super_fast_hash of a text's bytes, on the JVM: a fold over words of 32 bits, then the tail."""
+    low = lambda x: x.bitwiseAND(F.lit(_M32))
+    signed = lambda x: F.when(x > 127, x - 256).otherwise(x)
+    spread = lambda left: lambda x: x.bitwiseXOR(low(F.shiftleft(x, left)))
+    added = lambda h, right: _let(h, lambda x: low(x + F.shiftright(x, right)))
+
+    def hashed(raw: Column) -> Column:
+        n = F.octet_length(raw)
+        word = lambda i: _byte(raw, i) + _byte(raw, i + 1) * 256
+        mixed = lambda h, k: added(_let(low(h + word(k * 4)), lambda x: low(F.shiftleft(x, 16).bitwiseXOR(F.shiftleft(word(k * 4 + 2), 11).bitwiseXOR(x)))), 11)
+        groups = F.when(n >= 4, F.sequence(F.lit(0), F.floor(n / 4).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+        body = F.aggregate(groups, n.cast("long"), mixed)
+        at = (n - n % 4).cast("int")
+        three = lambda h: added(_let(low(h + word(at)), lambda x: low(x.bitwiseXOR(F.shiftleft(x, 16)).bitwiseXOR(F.shiftleft(signed(_byte(raw, at + 2)), 18)))), 11)
+        two = lambda h: added(_let(low(h + word(at)), lambda x: x.bitwiseXOR(low(F.shiftleft(x, 11)))), 17)
+        one = lambda h: added(_let(low(h + signed(_byte(raw, at))), lambda x: x.bitwiseXOR(low(F.shiftleft(x, 10)))), 1)
+        out = _let(body, lambda h: F.when(n % 4 == 3, three(h)).when(n % 4 == 2, two(h)).when(n % 4 == 1, one(h)).otherwise(h))
+        for left, right in ((3, 5), (4, 17), (25, 6)):
+            out = added(_let(out, spread(left)), right)
+        return F.when(n == 0, F.lit(0).cast("long")).otherwise(out)
+
+    return _let(F.encode(c, "UTF-8"), hashed)
 
 
 def adler_column(c: Column) -> Column:
-    return _column(adler32, "long", c)
+    """Adler-32 of a text's bytes, on the JVM."""
+    def summed(raw: Column) -> Column:
+        start = F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+        step = lambda s, i: _let((s["a"] + _byte(raw, i)) % 65521, lambda a: F.struct(a.alias("a"), ((s["b"] + a) % 65521).alias("b")))
+        each = F.when(F.octet_length(raw) > 0, F.sequence(F.lit(0), F.octet_length(raw) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.when(raw.isNotNull(), F.aggregate(each, start, step, lambda s: s["b"] * 65536 + s["a"]))
+
+    return _let(F.encode(c, "UTF-8"), summed)
 
 
 class RollingHash:

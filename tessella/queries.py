@@ -491,7 +491,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.union, [p.apply(groups[n]) for n in p.families()])
 
 
-@add("hash_buckets")
+_FAST = f"""with t as (select distinct "row", list_transform(range(1, 12), lambda i: ascii("row"[i:i])::bigint) as b from ({EV})),
+h0 as (select "row", b, 11 + b[1] + b[2] * 256 as h from t), h1 as (select *, xor(h << 16, xor((b[3] + b[4] * 256) << 11, h)) & 4294967295 as x from h0), h2 as (select "row", b, ((x + (x >> 11)) & 4294967295) + b[5] + b[6] * 256 as y from h1),
+h3 as (select "row", b, y & 4294967295 as h from h2), h4 as (select *, xor(h << 16, xor((b[7] + b[8] * 256) << 11, h)) & 4294967295 as x from h3), h5 as (select "row", b, (((x + (x >> 11)) & 4294967295) + b[9] + b[10] * 256) & 4294967295 as h from h4),
+h6 as (select "row", xor(xor(h, (h << 16) & 4294967295), b[11] << 18) & 4294967295 as x from h5), h7 as (select "row", (x + (x >> 11)) & 4294967295 as h from h6),
+h8 as (select "row", xor(h, (h << 3) & 4294967295) as x from h7), h9 as (select "row", (x + (x >> 5)) & 4294967295 as h from h8), ha as (select "row", xor(h, (h << 4) & 4294967295) as x from h9), hb as (select "row", (x + (x >> 17)) & 4294967295 as h from ha),
+hc as (select "row", xor(h, (h << 25) & 4294967295) as x from hb) select "row", ((x + (x >> 6)) & 4294967295) % 8 as bucket from hc"""
+
+
+@add("hash_buckets", _FAST)
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = ev(spark, d).select("row").distinct()
     return rows.select("row", (hashing.super_fast_column(F.col("row")) % 8).alias("bucket"))
@@ -619,6 +627,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return X.number(c, ["key"], "place").select("c_custkey", "place")
 
 
+@add("fn_adler", "select c_custkey, ((n + sum((n - i + 1) * c)) % 65521 * 65536 + (1 + sum(c)) % 65521)::bigint as adler from (select c_custkey, length(c_name) as n, i, ascii(c_name[i:i]) as c from (select *, unnest(range(1, length(c_name) + 1)) as i from customer)) group by c_custkey, n")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey", hashing.adler_column(F.col("c_name")).alias("adler"))
+
+
 @add("fn_hashes")
 def _(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("c_name")

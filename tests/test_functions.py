@@ -181,3 +181,13 @@ def test_times() -> None:
         assert phrase_time(given, now) == want
     with pytest.raises(ValueError):
         phrase_time("whenever", now)
+
+
+def test_hashes_on_the_jvm(spark) -> None:  # noqa: ANN001
+    texts = ["", "a", "ab", "abc", "abcd", "abcde", "Ünïcödé", "\x7f\x80ÿ中", "x" * 61, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", hashing.super_fast_column(F.col("t")).alias("f"), hashing.adler_column(F.col("t")).alias("a")).collect()
+    for r in got:
+        raw = None if r["t"] is None else r["t"].encode()
+        assert r["f"] == (None if raw is None else hashing.super_fast_hash(raw)), r["t"]
+        assert r["a"] == (None if raw is None else hashing.adler32(raw)), r["t"]
