@@ -133,9 +133,23 @@ def _parted(rows: DataFrame, t: int) -> DataFrame:
     return long.select("g", "h", "f", "line", "k.*").union(short)
 
 
+def _plausible(x: Column, y: Column, t: int) -> Column:
+    """Whether enough pieces of the shorter string stand in the longer: t edits leave t + 2 of 2 t + 2 as they are."""
+    shorter, longer = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
+    found = F.lit(0)
+    for i in range(2 * t + 2):
+        start, width = _segment(F.length(shorter), i, 2 * t + 1)
+        piece = F.substring(shorter, start + 1, width)
+        there = F.lit(False)
+        for d in range(-t, t + 1):
+            there = there | ((start + d >= 0) & (F.substring(longer, start + d + 1, width) == piece))
+        found = found + there.cast("int")
+    return found >= t + 2
+
+
 def _near(x: Column, y: Column, t: int) -> Column:
-    """Within t edits, and not all of the longer one is edited."""
-    return _let(edit_distance(x, y, t), lambda n: (n <= t) & (n < F.greatest(F.length(x), F.length(y))))
+    """Within t edits, and not all of the longer one is edited; most pairs are told apart by their pieces."""
+    return _plausible(x, y, t) & _let(edit_distance(x, y, t), lambda n: (n <= t) & (n < F.greatest(F.length(x), F.length(y))))
 
 
 def _meet(rows: DataFrame, *more: str) -> DataFrame:
@@ -163,10 +177,12 @@ def near_lines(lines: DataFrame, texts: DataFrame, threshold: int, tag: str) ->
     keys = _pieces(root, line, length, F.lit(0), no, t, False, range(1))
     for s in range(1, t + 1):
         keys += _pieces(root, line, length - s, F.lit(s), yes, t, False, range(s, s + 1))
-    long = texts.filter(length > t).select("g", "h", F.explode(F.array(*keys)).alias("k")).filter("k is not null").select("k.key", "g", "h", "k.probe", "k.diff", "k.place")
-    short = texts.filter(length <= 2 * t).select("g", "h", length.alias("n"), F.explode(F.array_distinct(F.split(line, ""))).alias("c"))
-    short = short.select(F.xxhash64(root, F.lit("one"), "c").alias("key"), "g", "h", (F.col("n") > t).alias("probe"), F.lit(0).alias("diff"), F.lit(-1).alias("place"))
-    made = cut(spark, long.union(short).distinct(), f"{tag}-keys")
+    # the characters of short lines, in the same pass
+    for k in range(1, 2 * t + 1):
+        one = F.struct(F.xxhash64(root, F.lit("one"), F.substring(line, k, 1)).alias("key"), (length > t).alias("probe"), F.lit(0).alias("diff"), F.lit(-1).alias("size"), F.lit(None).cast("string").alias("rest"), F.lit(-1).alias("place"))
+        keys.append(F.when((length <= 2 * t) & (length >= k), one))
+    every = texts.select("g", "h", F.explode(F.array(*keys)).alias("k")).filter("k is not null").select("k.key", "g", "h", "k.probe", "k.diff", "k.place")
+    made = cut(spark, every.distinct(), f"{tag}-keys")
     # keys of single characters have as many lines as there are strings of 2 t characters: they are not parted
     shared = made.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("place").alias("place"), F.bool_and("probe").alias("none"))
     shared = cut(spark, shared.filter("c > 1 and not none").select("key", ((F.col("c") > HEAVY) & (F.col("place") >= 0)).alias("heavy")), f"{tag}-shared")
