@@ -17,6 +17,8 @@ LIMIT = 3
 CAPACITY = 1 << 16
 #: Hash slices of a length class, so that ranking within a class of very many documents is parted.
 SLICES = 256
+#: Classes (source and length) up to this number go to all tasks, in about 50 MB; more meet the texts by a shuffle.
+BROADCAST_CLASSES = 500_000
 
 
 def word_count(text: Column) -> Column:
@@ -128,21 +130,22 @@ def mix(
     into whole passes over it and a rest below its size; the rest is planned over the counts of its
     exact lengths and filled with documents chosen by a seeded hash of their id and text.  A null source is one
     source, last in order; rows that repeat an id, or have none, are rows of their own; ties of the hash go by
-    id and text, and rows that share both are alike; an empty table gives an empty one.  Other columns pass (or those named in `keep`).
+    id and text (where the text is kept, rows that share both are taken alike); an empty table gives an empty one.  Other columns pass (or those named in `keep`).
     """
     spark = df.sparkSession
     kept = list(df.columns) if keep is None else keep
     fresh(df, "mix_size", "mix_source_size", "mix_target", "mix_repeats")
-    rows = df.select(
-        *kept,
+    named = [
         F.col(source).alias("__s"),
         word_count(F.col(text)).alias("mix_size"),
         F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("__h"),
         F.col(doc_id).alias("__i"),
         F.xxhash64(F.col(text)).alias("__x"),
-    ).withColumn("__b", F.pmod("__h", F.lit(SLICES)).cast("int"))
-    if text not in kept:  # small rows: count the words once
-        rows = cut(spark, rows, f"{tag}-sizes")
+    ]
+    whole = text in kept
+    # small rows: words are counted once, and only these rows are shuffled
+    rows = df.select(*([] if whole else kept), *named).withColumn("__b", F.pmod("__h", F.lit(SLICES)).cast("int"))
+    rows = cut(spark, rows, f"{tag}-sizes")
     classes = cut(spark, rows.groupBy("__s", "mix_size", "__b").agg(F.count(F.lit(1)).alias("n")), f"{tag}-classes")
     goal = targets(classes.groupBy(F.col("__s").alias("source")).agg(F.sum(F.col("mix_size") * F.col("n")).alias("source_size")), weights, limit)
     goal = goal.select(
@@ -176,8 +179,19 @@ def mix(
     p = cut(spark, p, f"{tag}-quota")
     joined = rows.join(p, F.col("__s").eqNullSafe(F.col("qs")) & (F.col("mix_size") == F.col("qz")) & (F.col("__b") == F.col("qb")))
     rank = F.row_number().over(Window.partitionBy("__s", "mix_size", "__b").orderBy("__h", "__i", "__x"))
-    repeats = F.col("passes") + F.when(rank <= F.col("quota"), 1).otherwise(0)
-    return joined.withColumn("mix_repeats", repeats.cast("int")).select(*kept, "mix_size", "mix_source_size", "mix_target", "mix_repeats")
+    if not whole:
+        repeats = F.col("passes") + F.when(rank <= F.col("quota"), 1).otherwise(0)
+        return joined.withColumn("mix_repeats", repeats.cast("int")).select(*kept, "mix_size", "mix_source_size", "mix_target", "mix_repeats")
+    # whole texts stay where they are: each class has a last row that is taken, and rows compare themselves with it
+    place = F.struct("__b", "__h", "__i", "__x")
+    tops = joined.select("__s", "mix_size", place.alias("at"), (rank <= F.col("quota")).alias("taken")).groupBy("__s", "mix_size").agg(F.max(F.when(F.col("taken"), F.col("at"))).alias("__top"))
+    tops = cut(spark, tops.select(F.col("__s").alias("ts"), F.col("mix_size").alias("tz"), "__top"), f"{tag}-tops")
+    tops = tops.join(g, F.col("ts").eqNullSafe(F.col("gs"))).drop("gs")
+    tops = F.broadcast(tops) if tops.count() <= BROADCAST_CLASSES else tops
+    out = df.select(*kept, *named).withColumn("__b", F.pmod("__h", F.lit(SLICES)).cast("int"))
+    out = out.join(tops, F.col("__s").eqNullSafe(F.col("ts")) & (F.col("mix_size") == F.col("tz")))
+    repeats = F.col("passes") + F.when(F.coalesce(place <= F.col("__top"), F.lit(False)), 1).otherwise(0)
+    return out.withColumn("mix_repeats", repeats.cast("int")).select(*kept, "mix_size", "mix_source_size", "mix_target", "mix_repeats")
 
 
 def mixed(df: DataFrame, **options) -> DataFrame:  # noqa: ANN003
