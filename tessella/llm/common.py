@@ -40,7 +40,7 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-def cut(spark: SparkSession, df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
+def cut(spark: SparkSession, df: DataFrame, tag: str, partition_by: list[str] | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """Write `df` as Parquet under the shared folder and read it back.
 
     This ends the lineage durably (a lost executor costs no recomputation of what stands before the
@@ -49,7 +49,7 @@ def cut(spark: SparkSession, df: DataFrame, tag: str, partition_by: list[str] |
     """
     small_batches(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    w = df.write
+    w = df.write.options(**(options or {}))
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
 from tessella.llm import ann, vectordup
+from tessella.llm.common import shared_dir
 from tessella.llm.graph import components
 
 SCHEMA = "vec_id long, embedding array<float>, label int, extra string"
@@ -61,6 +64,61 @@ def test_vector_groups_edges(spark) -> None:  # noqa: ANN001
     assert got == [(1, 1, 1), (1, 1, 1), (2, 0, 2)]
 
 
+def written(spark) -> int:  # noqa: ANN001
+    """Bytes shuffled so far, and those under the shared folder."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    shared = Path(shared_dir(spark))
+    return sc.statusStore().executorList(False).apply(0).totalShuffleWrite() + sum(f.stat().st_size for f in shared.rglob("*.parquet"))
+
+
+def test_disk_of_large_labels(spark, monkeypatch) -> None:  # noqa: ANN001
+    """A label of many parts is written no more often than one of few."""
+    monkeypatch.setattr(vectordup, "PART", 500)
+    n, d = 8000, 64
+    r = np.random.default_rng(3)
+    x = r.standard_normal((n, d)).astype(np.float32)
+    x[4000:4100] = x[:100] + 0.2 * r.standard_normal((100, d))
+    x[5000:5300] = x[200] + 0.1 * r.standard_normal((300, d))
+    x[6000:6100] = x[200]
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in enumerate(x.tolist())], SCHEMA)
+    before = written(spark)
+    got = {v["vec_id"]: v for v in vectordup.vector_groups(df).collect()}
+    assert written(spark) - before <= 4 * n * d * 4
+    u = x.astype(np.float64)
+    u /= np.sqrt((u * u).sum(axis=1, keepdims=True))
+    near = u @ u.T >= 0.93
+    assert [got[i]["n_links"] for i in range(n)] == (near.sum(axis=1) - 1).tolist()
+    low = np.arange(n)
+    for _ in range(8):
+        low = np.where(near, low[None, :], n).min(axis=1)
+    assert [got[i]["component_id"] for i in range(n)] == low.tolist()
+
+
+@pytest.mark.parametrize("noise", [0.02, 0.37, 0.5])
+def test_links_between_blobs(monkeypatch, noise: float) -> None:  # noqa: ANN001
+    """Dense and sparse tiles, within a blob and between two, against all pairs."""
+    monkeypatch.setattr(vectordup, "TILE", 37)
+    r = np.random.default_rng(5)
+    x = r.standard_normal((150, 40))
+    x[::3] = x[0] + noise * r.standard_normal((50, 40)) * np.linalg.norm(x[0]) / 40**0.5
+    opened = vectordup._opener("<f8")
+    part = [opened(len(v), np.array([k, k, np.arange(len(v)) + 1], "<i8").tobytes() + v.tobytes()) for v in (x[:90], x[90:]) for k in [np.arange(len(v))]]
+    a, b = part
+    for p, q in ((a, None), (a, b)):
+        y, n = (p.x, p.n) if q is None else (np.concatenate([p.x, q.x]), np.concatenate([p.n, q.n]))
+        ok = y @ y.T >= 0.93
+        np.fill_diagonal(ok, False)
+        if q is not None:
+            ok[:90, :90] = ok[90:, 90:] = False
+        got, root = vectordup.links_of(p, q, 0.93)
+        assert got.tolist() == (ok @ n).tolist()
+        low = np.arange(len(y))
+        for _ in range(len(y)):
+            low = np.minimum(low, np.where(ok, low[None, :], len(y)).min(axis=1))
+        assert root.tolist() == low.tolist()
+
+
 def test_hilbert_is_a_curve() -> None:
     c = np.array(np.meshgrid(*[range(8)] * 3)).reshape(3, -1).T
     k = ann.hilbert(c, 3)
