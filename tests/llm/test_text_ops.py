@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import collections
 import math
+import os
 import random
 import re
 import zlib
@@ -408,6 +409,59 @@ def test_lm_chunks_agree(spark, monkeypatch) -> None:  # noqa: ANN001
     assert one == pytest.approx(many)
 
 
+def test_lm_keys_are_packed_by_range() -> None:
+    """What a range's hashes share isn't sent."""
+    r = np.random.default_rng(2)
+    hashes = np.unique(r.integers(0, 1 << 63, 800_000, dtype=np.uint64) << np.uint64(1) | np.uint64(1))
+    order, at = lm._dealt(hashes, 8)
+    assert sorted(order.tolist()) == list(range(len(hashes)))
+    assert sum(len(lm._pack_keys(hashes[order][i:j])) for i, j in zip(at, at[1:], strict=False)) < 6.3 * len(hashes)
+    assert max(np.diff(at)) < 1.2 * len(hashes) / 256
+    names = np.ones(1 << 17, np.int64).cumsum() % lm.NAMED + 1
+    a, b, c = (np.minimum(r.zipf(1.3, 1_000_000), 60_000) for _ in range(3))
+    keys = np.unique(lm.gram_keys([a, b, c], np.zeros(1 << 17, np.uint64), names))
+    order, at = lm._dealt(keys, 8)
+    assert (np.sort(keys[order]) == keys).all()
+    assert max(np.diff(at)) < 2 * len(keys) / 256
+
+
+def test_lm_ranges_agree_between_chunks() -> None:
+    """A key is in the same range whatever else its chunk has, at few and many ranges."""
+    r = np.random.default_rng(3)
+    keys = np.unique(np.concatenate([r.integers(0, 1 << 50, 3000, dtype=np.uint64) << np.uint64(1), r.integers(0, 1 << 63, 3000, dtype=np.uint64) << np.uint64(1) | np.uint64(1)]))
+    for log2 in (4, 9, 16, 18):
+        for hashes in (False, True):
+            where = []
+            for part in (keys, r.permutation(keys)[:2500]):
+                order, at = lm._dealt(part, log2, hashes)
+                dealt, of = part[order], np.repeat(np.arange(1 << log2), np.diff(at))
+                assert ((dealt[1:] > dealt[:-1]) | (of[1:] > of[:-1])).all()
+                where.append(dict(zip(dealt.tolist(), of.tolist(), strict=True)))
+            assert where[1].items() <= where[0].items()
+
+
+def test_lm_deletes_what_it_shuffled(spark, monkeypatch) -> None:  # noqa: ANN001
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+
+    def shuffled() -> dict[str, int]:
+        paths = env.blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {p: os.path.getsize(p) for p in paths if p.endswith(".data") and os.path.exists(p)}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    had, held, during, write = shuffled(), spark.conf.get(setting), {}, lm.cut
+
+    def cut(s, df, tag):  # noqa: ANN001, ANN202
+        during[tag] = s.conf.get(setting)  # without it files go when the driver collects garbage, now and then in time
+        return write(s, df, tag)
+
+    monkeypatch.setattr(lm, "cut", cut)
+    scores = lm.lm_scores(sample(spark))
+    assert during["lm-answers"] == "true"
+    assert sum(n for p, n in shuffled().items() if p not in had) < 20_000  # sums of a row for each task
+    assert spark.conf.get(setting) == held
+    assert scores.count() == sample(spark).count()
+
+
 def test_lm_beats_unigrams_on_held_out_texts(spark) -> None:  # noqa: ANN001
     rows = lm.lm_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").collect()
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
