@@ -5,10 +5,12 @@ Order is data here: where it can be observed, an ordinal column carries it, and
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -212,23 +214,86 @@ def pages(df: DataFrame, limit: int, size: Column, order: Sequence[str | Column]
     return placed.join(ends, on).withColumn(out, page.cast("long")).select(*df.columns, out)
 
 
-def uniq_batches(df: DataFrame, key: Sequence[str], ordinal: str, fold: Callable[[pd.DataFrame], pd.DataFrame], batch: int = 1000) -> DataFrame:
+def _fold_blocks(frame: pd.DataFrame, block: np.ndarray, ordinal: str, fold: Callable[[pd.DataFrame, list[str]], pd.DataFrame], by: list[str], batch: int, last: bool) -> pd.DataFrame:
+    """Blocks of rows in order, `block` rising with them, folded by batches until each has a batch at most or doesn't
+    shrink; at the last each block is a batch, folded once."""
+    done = []
+    while len(frame):
+        at = np.arange(len(frame)) - np.searchsorted(block, block)
+        big = np.full(len(frame), True) if last else np.bincount(block)[block] > batch
+        if not big.all():
+            done.append(frame[~big])
+        if not big.any():
+            break
+        frame, block, at = frame[big], block[big], at[big]
+        starts = np.flatnonzero(at % batch == 0)
+        owner = block[starts]
+        out = fold(frame.assign(__b=np.repeat(np.arange(len(starts)), np.diff([*starts, len(frame)]))), by)
+        rows, stuck = len(frame), len(out) >= len(frame)
+        out = out.assign(__k=owner[out["__b"].to_numpy(dtype=np.int64)]).sort_values(["__k", ordinal], kind="stable")
+        block = out["__k"].to_numpy(dtype=np.int64)
+        frame = out[frame.columns]
+        if last or stuck:
+            done.append(frame)
+            break
+    return pd.concat(done, ignore_index=True) if done else frame
+
+
+#: Rows of a key that a task folds down to a batch at once.
+FOLDED_ROWS = 8192
+
+
+def uniq_batches(df: DataFrame, key: Sequence[str], ordinal: str, fold: Callable[..., pd.DataFrame], batch: int = 1000, many: bool = False) -> DataFrame:
     """Equal keys folded in batches of rows in order, partial results first, until each key has one batch left.
 
-    `fold` takes and gives frames of the input's columns.  Rounds are by (key, batch), so a key's rows are never
-    gathered as a whole; a fold that doesn't shrink a full batch is an error.
+    `fold` takes and gives frames of the input's columns (nullable integers, times in the session's zone).  With `many`
+    it is called as fold(frame, by) with many batches at once: it folds the groups of the columns `by` each by itself,
+    and keeps these columns.  A task takes blocks of some thousand rows of a key and folds them by batches until a
+    batch is left; rounds are by (key, block), so a key's rows are never gathered as a whole.  A fold that doesn't shrink
+    its batches is an error.
     """
+
+    def one_by_one(frame: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+        parts = [fold(g.drop(columns="__b")).assign(__b=b) for b, g in frame.groupby("__b", sort=False)]
+        return pd.concat(parts, ignore_index=True)
+
+    each, by = (fold if many else one_by_one), [*key, "__b"]
+    size = batch * max(2, -(-FOLDED_ROWS // batch))
+    ints = {getattr(pa, n.lower())(): getattr(pd, f"{n}Dtype")() for n in ("Int8", "Int16", "Int32", "Int64")}
+
+    def folded(placed: DataFrame, last: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+
+            def give(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+                at = rows["__at"].to_numpy()
+                own = rows.drop_columns(["__at"])
+                out = _fold_blocks(own.to_pandas(types_mapper=ints.get), np.cumsum(at % size == 0), ordinal, each, by, batch, last)
+                yield from pa.Table.from_pandas(out, own.schema, preserve_index=False).to_batches()
+
+            for b in batches:
+                rows = pa.Table.from_batches([b])
+                held = rows if held is None else pa.concat_tables([held, rows])
+                starts = np.flatnonzero(held["__at"].to_numpy() % size == 0)
+                if len(starts) and starts[-1]:  # the last block may go on in the next batch
+                    yield from give(held.slice(0, starts[-1]))
+                    held = held.slice(starts[-1])
+            if held is not None and len(held):
+                yield from give(held)
+
+        parts = placed.repartition(*key, F.floor(F.col("__at") / size)).sortWithinPartitions(*key, "__at")
+        return parts.mapInArrow(run, df.schema)
+
     place = F.row_number().over(Window.partitionBy(*key).orderBy(ordinal))
     held, rows = df, None
     while True:
-        parted = materialise(df.sparkSession, held.withColumn("__b", F.floor((place - 1) / batch).cast("long")), "batches")
-        n, most = parted.agg(F.count(F.lit(1)), F.max("__b")).first()
+        placed = materialise(df.sparkSession, held.withColumn("__at", (place - 1).cast("long")), "batches")
+        n, most = placed.agg(F.count(F.lit(1)), F.max("__at")).first()
         if rows is not None and n >= rows:
             raise ValueError("the fold doesn't shrink its batches")
-        held = parted.groupBy(*key, "__b").applyInPandas(lambda g: fold(g.drop(columns="__b").sort_values(ordinal)), df.schema)
-        if not most:
-            return held
-        rows = n
+        if (most or 0) < batch:
+            return folded(placed, last=True)
+        held, rows = folded(placed, last=False), n
 
 
 def tee(df: DataFrame, *writers: Callable[[DataFrame], None]) -> None:

@@ -163,3 +163,30 @@ def test_plans(spark) -> None:  # noqa: ANN001
     log = o.withColumn("seq", F.col("ts"))
     below = keep_history(resolve(log), 1).filter("row = 'F'")._jdf.queryExecution().toString()
     assert "EqualTo(o_orderstatus,F)" in below
+
+
+def test_uniq_batches(spark) -> None:  # noqa: ANN001
+    import pandas as pd
+
+    rows = [(None if i % 3 == 0 else "ab"[i % 2], i, chr(97 + i % 26)) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "k string, i long, v string").repartition(7)
+    want = {k: (max(i for q, i, _ in rows if q == k), "".join(v for q, _, v in rows if q == k)) for k in ("a", "b", None)}
+    calls = spark.sparkContext.accumulator(0)
+
+    def joined(g: pd.DataFrame) -> pd.DataFrame:
+        assert len(g) <= 10
+        assert g["k"].nunique(dropna=False) == 1
+        return g.tail(1).assign(v="".join(g["v"]))
+
+    def joined_many(g: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+        calls.add(1)
+        assert g.groupby("__b").size().max() <= 10
+        return g.groupby(by, as_index=False, dropna=False).agg({"i": "max", "v": "sum"})
+
+    for fold, many in ((joined, False), (joined_many, True)):
+        got = {r["k"]: (r["i"], r["v"]) for r in X.uniq_batches(df, ["k"], "i", fold, 10, many=many).collect()}
+        assert got == want
+    assert 0 < calls.value < 100  # not one for each of 2,000 batches
+    with pytest.raises(ValueError, match="shrink"):
+        X.uniq_batches(df, ["k"], "i", lambda g: g, 10)
+    assert X.uniq_batches(df.filter("false"), ["k"], "i", joined, 10).count() == 0
