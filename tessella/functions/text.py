@@ -67,18 +67,21 @@ def parse_float(c: Column) -> Column:
     return F.when(c.rlike(r"^[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][-+]?[0-9]+)?$"), c.try_cast("double"))
 
 
-_SUFFIXES = " KMGTPE"
+_SUFFIXES = "KMGTPE"
 
 
-def size_string(n: Column, base: int = 1024) -> Column:
-    """Divided by the base until below its square, with one digit and a suffix; whole below the base."""
-    out = F.concat(n.cast("string"), F.lit(_SUFFIXES[0]))
+def size_string(n: Column, base: int = 1024, suffixes: str = _SUFFIXES) -> Column:
+    """Divided by the base until below its square, with one digit and a suffix; whole below the base.
+
+    What the last suffix is too small for stays in its unit, however many digits that takes.
+    """
+    out = F.concat(n.cast("string"), F.lit(" "))
     shown = F
-    for i in range(1, len(_SUFFIXES)):
+    for i, suffix in enumerate(suffixes, 1):
         top = float(base) ** (i + 1)
         # ties go to the even digit, as in C
-        value = F.format_string("%.1f" + _SUFFIXES[i], F.bround(n.cast("double") / float(base) ** i, 1))
-        shown = shown.when(n < top if i < len(_SUFFIXES) - 1 else F.lit(True), value)
+        value = F.format_string("%.1f" + suffix, F.bround(n.cast("double") / float(base) ** i, 1))
+        shown = shown.when(n < top if i < len(suffixes) else n.isNotNull(), value)
     return F.when(n < base, out).otherwise(shown)
 
 

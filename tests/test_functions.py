@@ -31,6 +31,21 @@ def test_text(spark) -> None:  # noqa: ANN001
     assert one(spark, text.config_map(F.col("a")), a="a = 1\nnothing\n b=2\na = 3") == {"a": "3", "b": "2"}
 
 
+def test_large_sizes(spark) -> None:  # noqa: ANN001
+    assert one(spark, text.size_string(F.lit(3 << 40))) == "3.0T"
+    assert one(spark, text.size_string(F.lit(3 << 40), suffixes="KMG")) == "3072.0G"
+    assert one(spark, text.size_string(F.lit(1 << 62))) == "4.0E"
+    assert one(spark, text.size_string(F.lit(None).cast("long"))) is None
+
+
+def test_size_query_beyond_a_terabyte(spark, tmp_path) -> None:  # noqa: ANN001
+    spark.range(262_143, 262_146).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    from tessella.queries import QUERIES
+
+    got = {r["n"]: r["s"] for r in QUERIES["fn_size_string"](spark, str(tmp_path)).collect()}
+    assert got == {1099503239184: "1024.0G", 1099511627776: "1024.0G", 1099520016400: "1024.0G"}
+
+
 def test_escapes() -> None:
     assert text.unescape(r"a\n\x41\u00e9\q\\") == "a\nA\u00e9q\\"
     assert text.escape('a"\n\x01\\') == r"a\"\n\x01\\"
