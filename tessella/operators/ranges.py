@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .streams import number, previous, running_max_before, running_sum, runs
+from .durable import materialise
+from .streams import BROADCAST_BYTES, number, previous, running_max_before, running_sum, runs
 
 
 def coalesce_intervals(df: DataFrame, within: Sequence[str] = ()) -> DataFrame:
@@ -31,37 +32,54 @@ def intersect_intervals(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFr
     return both.select(*on, F.greatest("__la", "__lb").alias("lo"), F.least("__ha", "__hb").alias("hi"))
 
 
-def _first_not_below(values: Column, x: Column) -> Column:
-    """Position, from 0, of the first of rising values that isn't below x; their number if there is none."""
-    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + F.lit(1))).cast("int"))
-
-    def halved(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        below = F.get(values, mid) < x
-        return F.struct(F.when((s["lo"] < s["hi"]) & below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when((s["lo"] < s["hi"]) & ~below, mid).otherwise(s["hi"]).alias("hi"))
-
-    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(values).alias("hi")), halved, lambda s: s["lo"])
+def _first_not_below(df: DataFrame, values: str, x: Column, most: int, out: str) -> DataFrame:
+    """Append the position, from 0, of the first of rising values, `most` of them at most, that isn't below x; their
+    number if there is none.  A binary search as a projection for each halving, which Spark compiles, unlike lambdas."""
+    df = df.withColumn(out, F.lit(0))
+    for half in (1 << i for i in reversed(range(most.bit_length()))):
+        below = F.get(F.col(values), F.col(out) + F.lit(half - 1)) < x  # null beyond the end
+        df = df.withColumn(out, F.col(out) + F.when(below, half).otherwise(0))
+    return df
 
 
 def lookup_ranges(df: DataFrame, value: str, tablets: DataFrame, name: str = "tablet", upper: str = "upper", fanout: int = 4096) -> DataFrame:
     """Append the owner of each value: the tablet with the least upper bound that isn't below it (null: unbounded).
 
-    An as-of search without a range join or a shuffle by value: bounds are sorted into buckets of `fanout`.  One row
-    with the last bound of each bucket goes to all tasks, where a binary search finds a value's bucket; an equi-join,
-    which the planner broadcasts or shuffles by its size, brings the bucket's bounds, and a second search the owner.
+    An as-of search without a range join or a shuffle by value: sorted bounds are the leaves of a tree whose nodes hold
+    `fanout` of them, and a node's last bound stands for it in the level above.  The root, one row, goes to all tasks; a
+    binary search there finds the next level's node, which an equi-join brings, and so on, so that a row never meets
+    more than a node at a time.  Small levels are broadcast, others as the planner finds by their size.
     Of tablets with one bound the least name counts; a null value has no owner.
     """
+    spark, fanout, v = df.sparkSession, max(fanout, 2), F.col(value)
     ends = tablets.filter(F.col(upper).isNotNull()).groupBy(F.col(upper).alias("__u")).agg(F.min(name).alias("__n"))
-    placed = number(ends, ["__u"], "__i").withColumn("__b", F.floor((F.col("__i") - 1) / fanout).cast("long"))
-    own = placed.groupBy("__b").agg(F.array_sort(F.collect_list(F.struct("__u", "__n"))).alias("__own"))
-    tops = own.agg(F.transform(F.array_sort(F.collect_list(F.struct("__b", F.array_max("__own.__u").alias("u")))), lambda x: x["u"]).alias("__tops"))
+    placed = materialise(spark, number(ends, ["__u"], "__i").withColumn("__i", F.col("__i") - 1), "bounds")
+    n, chars = placed.agg(F.count(F.lit(1)), F.sum(F.length(F.col("__u").cast("string")))).first()
+
+    def nodes(level: int, *by: Column) -> DataFrame:
+        """Bounds (and names, which count in leaves) of each node of a level, in order."""
+        step = fanout**level
+        lasts = placed.filter(((F.col("__i") + 1) % step == 0) | (F.col("__i") == n - 1))
+        own = lasts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__u", "__n"))).alias("__own"))
+        part = lambda c: F.transform("__own", lambda x: x[c]).alias(f"{c}s")
+        return own.select(*(["__b"] if by else []), part("__u"), *([] if level else [part("__n")]))
+
+    depth = 0
+    while n > fanout ** (depth + 1):
+        depth += 1
     open_end = tablets.agg(F.min(F.when(F.col(upper).isNull(), F.col(name))).alias("__rest"))
-    found = df.crossJoin(F.broadcast(tops.crossJoin(open_end)))  # one row
-    found = found.withColumn("__at", F.when(F.col(value).isNotNull(), _first_not_below(F.col("__tops"), F.col(value)).cast("long"))).drop("__tops")
-    found = found.join(own, F.col("__at") == F.col("__b"), "left")
-    hit = F.get("__own", _first_not_below(F.col("__own.__u"), F.col(value)))["__n"]
-    owner = F.when(F.col(value).isNotNull(), F.when(F.col("__b").isNull(), F.col("__rest")).otherwise(hit))
-    return found.withColumn(name, owner).drop("__at", "__rest", "__b", "__own")
+    found = df.crossJoin(F.broadcast(nodes(depth).crossJoin(open_end)))  # one row
+    found = _first_not_below(found, "__us", v, min(n, fanout), "__pos")
+    found = found.withColumn("__past", F.col("__pos") >= F.size("__us")).withColumn("__at", F.when(v.isNotNull(), F.col("__pos").cast("long")))
+    for level in reversed(range(depth)):
+        own = nodes(level, F.floor(F.col("__i") / fanout ** (level + 1)).cast("long").alias("__b"))
+        if ((chars or 0) + n * 48) // fanout**level <= BROADCAST_BYTES:
+            own = F.broadcast(own)
+        found = found.drop("__us", "__pos").join(own, F.col("__at") == F.col("__b"), "left")
+        found = _first_not_below(found, "__us", v, fanout, "__pos")
+        found = found.withColumn("__at", F.col("__b") * fanout + F.col("__pos")).drop("__b")
+    owner = F.when(F.col("__past"), F.col("__rest")).otherwise(F.get("__ns", F.col("__pos")))
+    return found.withColumn(name, F.when(v.isNotNull(), owner)).drop("__at", "__pos", "__past", "__rest", "__us", "__ns")
 
 
 def consecutive(df: DataFrame, row: str = "row", within: Sequence[str] = ()) -> DataFrame:

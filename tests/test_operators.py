@@ -190,3 +190,24 @@ def test_uniq_batches(spark) -> None:  # noqa: ANN001
     with pytest.raises(ValueError, match="shrink"):
         X.uniq_batches(df, ["k"], "i", lambda g: g, 10)
     assert X.uniq_batches(df.filter("false"), ["k"], "i", joined, 10).count() == 0
+
+
+def test_lookup_rows_meet_a_node_of_bounds_at_a_time(spark, monkeypatch) -> None:  # noqa: ANN001
+    """Bounds of many levels; no bound, one bound, and numbers of bounds around the fan-out's powers."""
+    import bisect
+
+    values = [f"{i:04d}" for i in range(0, 1300, 3)] + [None]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for n, fanout in ((0, 2), (1, 1), (2, 2), (3, 2), (4, 2), (5, 2), (16, 4), (17, 4), (600, 5)):
+        bounds = [f"{2 * i:04d}" for i in range(n)]
+        for rest in ([("rest", None)], []):
+            tablets = spark.createDataFrame([(f"t{b}", b) for b in bounds] + [("u" + b, b) for b in bounds] + rest, "tablet string, upper string")
+            got = {r["v"]: r["tablet"] for r in R.lookup_ranges(df, "v", tablets, fanout=fanout).collect()}
+            last = "rest" if rest else None
+            assert got == {v: None if v is None else "t" + bounds[i] if (i := bisect.bisect_left(bounds, v)) < n else last for v in values}
+    # no row meets more than a node: of 600 bounds in nodes of five, not the 120 ends of the lowest nodes
+    sent, send = [], R.F.broadcast
+    monkeypatch.setattr(R.F, "broadcast", lambda x: sent.append(x) or send(x))
+    R.lookup_ranges(df, "v", tablets, fanout=5)
+    arrays = [c for x in sent for r in x.collect() for c in r if isinstance(c, list)]
+    assert max(map(len, arrays)) <= 5
