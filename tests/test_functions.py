@@ -137,6 +137,27 @@ def test_html(spark) -> None:  # noqa: ANN001
     assert one(spark, html.token_column(F.col("a")), a='<p k="v">')[0]["attributes"] == {"k": "v"}
 
 
+def test_html_batches_are_bounded(spark) -> None:  # noqa: ANN001
+    import tracemalloc
+
+    import pandas as pd
+    import pyarrow as pa
+
+    page = "<p class='a'>x</p>" * 500
+    tracemalloc.start()
+    [got] = html.token_arrays(iter([pa.array([page, None] * 640)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [None if x is None else len(x) for x in got[:3].to_pylist()] == [1500, None, 1500]
+    assert len(got) == 1280
+    assert peak < 100 << 20  # all at once are over 400 MB
+    size = F.pandas_udf(lambda s: pd.Series([len(s)] * len(s)), "int")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    pages = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("<p>xy</p>"), 2000).alias("h"))
+    html.token_column(F.col("h"))  # bounds the session's batches
+    assert pages.select(size("h").alias("n")).agg(F.max("n")).first()[0] * 18_000 <= 5 << 20
+
+
 def test_encodings(spark) -> None:  # noqa: ANN001
     for x in (b"", b"a\0\0b", b"\0" * 300, b"\0"):
         assert encode.zero_unescape(encode.zero_escape(x)) == x
